@@ -1,0 +1 @@
+"""Left empty on purpose: the evaluated workload has no streaming operator."""
