@@ -167,3 +167,17 @@ def fold_sums(df: DataFrame, features: list[str], label: str, bucket: str = "buc
     for r in flat.select("fold", "role", F.col("g.v").alias("v"), F.col("g.s").alias("s"), F.col("g.w").alias("w")).collect():
         out.table[(r["fold"], r["role"])] = Sums(unpack(r["v"], width), unpack(r["s"], width), unpack(r["w"], width))
     return out
+
+
+def sums_by_fold(rows: DataFrame, features: list[str], label: str, k: int, role: str = "train") -> FoldSums:
+    """Plain cross products of rows that already carry their ``fold``."""
+    shift, scale, label_shift = _centre(rows, features, label)
+    z = [F.lit(1.0)]
+    z += [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(features, shift, scale)]
+    z.append(F.col(label).cast("double") - label_shift)
+    out = FoldSums(features, shift, scale, label_shift, k)
+    packed = cross_sums(rows, ["fold"], z).groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("g"))
+    for r in packed.select("fold", F.col("g.v").alias("v")).collect():
+        m = unpack(r["v"], out.width)
+        out.table[(r["fold"], role)] = Sums(m, m, m)
+    return out

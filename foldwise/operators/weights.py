@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise import constants as K
-from foldwise.functions.bins import bin_text, label_bin
+from foldwise.functions.bins import bin_text, label_bin, report_bin
 from foldwise.operators.joins import join_small
 
 
@@ -44,3 +44,10 @@ def training_weights(df: DataFrame, label: str, by: list[str], n_edges: int = K.
                      groups: int | None = None) -> DataFrame:
     """Row weights after dropping rows that are equal in every column."""
     return row_weights(df.dropDuplicates(), label, by, n_edges, groups)
+
+
+def inverse_count_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
+    """Rows with 1/count of their report bin; rows outside every bin drop out."""
+    binned = df.withColumn("_bin", report_bin(F.col(label))).filter(F.col("_bin").isNotNull())
+    counts = binned.groupBy("_bin").agg((F.lit(1.0) / F.count("*")).alias(weight))
+    return join_small(binned, counts, ["_bin"], "inner", 102).drop("_bin")
