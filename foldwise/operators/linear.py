@@ -64,14 +64,19 @@ def penalised(c_xx: np.ndarray, c_xy: np.ndarray, alpha: float, ratio: float, to
 
 
 def fit_sums(sums: FoldSums, fold: int, role: str = "train", alpha: float = 0.0, ratio: float = 0.0,
-             scaler: str = "IdentityScaler", matrix: np.ndarray | None = None) -> Fit:
-    """Fit one fold; the penalty acts on raw or standardised columns."""
+             scaler: str = "IdentityScaler", matrix: np.ndarray | None = None, divisor: np.ndarray | None = None) -> Fit:
+    """Fit one fold; the penalty acts on raw or standardised columns.
+
+    ``divisor`` is the scale of any other affine scaler fitted on the fold's training rows.
+    """
     m = sums.table[(fold, role)].plain if matrix is None else matrix
     n = m[0, 0]
     mean = m[0] / n
     cov = m / n - np.outer(mean, mean)
     # Centred sums are in units of ``scale``; bring them to the units the penalty sees.
-    if scaler == "StandardScaler":
+    if divisor is not None:
+        unit = sums.scale / divisor
+    elif scaler == "StandardScaler":
         sd = np.sqrt(np.maximum(np.diag(cov)[1:-1], 0.0))
         unit = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 1.0)
     elif scaler == "IdentityScaler":
@@ -92,7 +97,7 @@ def _errors(m: np.ndarray, v: np.ndarray) -> tuple[float, float]:
         r2 = 1.0 - sse / sst
     else:
         r2 = 1.0 if sse <= 1e-14 * total else 0.0
-    return sse / total, r2
+    return float(sse / total), float(r2)
 
 
 def score_sums(sums: FoldSums, fit: Fit, fold: int, role: str) -> dict[str, float]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import inverse_normal
@@ -107,11 +107,12 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 
 
 def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None = None,
-              span: float = 5.0, points: int = 21, rounds: int = 5) -> DataFrame:
+              span: float = 5.0, points: int = 11, rounds: int = 4) -> DataFrame:
     """Lambda of largest likelihood per column, then mean and deviation of the transformed values.
 
     One round scores a batch of lambdas per column in one scan; the next round
-    looks between the neighbours of the best one.
+    looks between the neighbours of the best one, around the top of the parabola
+    through the three of them.
     """
     keys = ["_one", *by]
     rows = df.select(F.lit(1).alias("_one"), *by, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
@@ -140,13 +141,21 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
         like = F.when(
             F.col("var") > 0, -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("jac")
         ).otherwise(F.lit(float("-inf")))
-        best = scored(state).withColumn("_l", like).groupBy(*keys, "c").agg(F.max_by("lam", "_l").alias("mid"))
+        w = Window.partitionBy(*keys, "c").orderBy("lam")
+        tried = scored(state).withColumn("_l", like).withColumns(
+            {"_a": F.lag("_l").over(w), "_z": F.lead("_l").over(w), "_h": F.col("lam") - F.lag("lam").over(w)}
+        )
+        bend = F.col("_a") - 2 * F.col("_l") + F.col("_z")
+        # A missing or infinite neighbour, or a flat top, keeps the grid point.
+        move = F.col("_h") / 2 * (F.col("_a") - F.col("_z")) / F.when(bend < 0, bend)
+        move = F.when(F.abs(move) <= F.col("_h"), move).otherwise(0.0)
+        best = tried.groupBy(*keys, "c").agg(F.max_by(F.col("lam") + move, "_l").alias("mid"))
         half = state.select(*keys, "c", (F.col("half") * 2.0 / (points - 1)).alias("half"))
         state = cut_lineage(best.join(half, [*keys, "c"]))
     # The last batch holds its middle point, whose moments standardise the output.
     final = scored(state.withColumn("half", F.lit(0.0)))
     names = F.array(*[F.lit(c) for c in cols])
-    per = final.select(
+    per = cut_lineage(final).select(
         *by, F.element_at(names, F.col("c") + 1).alias("column"),
         F.array("lam", "mean", _unit_if_zero(F.sqrt("var"))).alias("p"),
     ).dropDuplicates([*by, "column"])

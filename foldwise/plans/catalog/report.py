@@ -220,4 +220,4 @@ g AS (SELECT CAST(i AS INT) AS point, n, h, lo - 3 * h + i * (hi + 3 * h - (lo -
 SELECT point, round(any_value(x), 8) AS x, round(sum(exp(-((x - y) ** 2) / (2 * h * h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density
 FROM g, pts GROUP BY point""")
 def kde_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _round(distribution.kde(points(spark, d).select("y"), [], "y"), ["x", "density"])
+    return _round(distribution.kde(points(spark, d, heavy=True).select("y"), [], "y"), ["x", "density"])

@@ -103,13 +103,13 @@ def _yeo(spark: SparkSession, d: str) -> DataFrame:
 
 @query("power_transform")
 def power_transform(spark: SparkSession, d: str) -> DataFrame:
-    df = points(spark, d).select("row_key", "bucket", *SCALED)
+    df = points(spark, d, heavy=True).select("row_key", "bucket", *SCALED)
     return scale_folds(df, SCALED, ["PowerTransformer"], ["val"], "train", "bucket", FOLDS).select("fold", "row_key", *SCALED)
 
 
 @query("power_lambdas")
 def _lambdas(spark: SparkSession, d: str) -> DataFrame:
-    params = fit_power(points(spark, d), ["bucket"], SCALED, FOLDS)
+    params = fit_power(points(spark, d, heavy=True), ["bucket"], SCALED, FOLDS)
     return params.select("bucket", F.explode("params").alias("column", "p")).select(
         "bucket", "column", F.col("p")[0].alias("lam"), F.col("p")[1].alias("mean"), F.col("p")[2].alias("sd")
     )
@@ -128,7 +128,7 @@ def _inverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scaler_study")
 def _study(spark: SparkSession, d: str) -> DataFrame:
-    df = points(spark, d, part=True).select("bucket", "y", *FEATURES, "depth", "annotation_score", "protein_existence")
+    df = points(spark, d, part=True, heavy=True).select("bucket", "y", *FEATURES, "depth", "annotation_score", "protein_existence")
     return scaler_study(df, FEATURES, ["depth", "annotation_score", "protein_existence"], "y", k=FOLDS)
 
 

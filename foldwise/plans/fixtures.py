@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.operators.folds import assign_roles, fold_bucket
+from foldwise.sources.tables import spread
 
 FOLDS = 5
 FEATURES = ["x1", "x2", "x3", "x4"]
@@ -19,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str, part: bool = False) -> DataFrame:
-    """One labelled point per order line; ``part`` adds the columns that need the part table."""
+def points(spark: SparkSession, sf_dir: str, part: bool = False, heavy: bool = False) -> DataFrame:
+    """One labelled point per order line; ``part`` adds the columns that need the part table.
+
+    ``heavy`` spreads a small file over all cores for work that is heavy per row.
+    """
     lines = table(spark, sf_dir, "lineitem")
+    if heavy:
+        lines = spread(lines.drop("l_shipdate"))
     q, price = F.col("l_quantity"), F.col("l_extendedprice")
     cols: list[Column] = [
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"),

@@ -23,6 +23,16 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table over all cores, when its files give fewer partitions than there are cores.
+
+    For work that is heavy per row. A large table has more partitions than cores and
+    comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite a Parquet table."""
     writer = df.write.mode("overwrite").option("compression", "snappy")
