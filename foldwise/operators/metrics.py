@@ -124,40 +124,49 @@ def score(df: DataFrame, by: list[str], label: str, pred: str, n_edges: int = K.
     return metrics(bin_moments(df, by, label, pred, "left", n_edges), by)
 
 
-def fold_moments(df: DataFrame, label: str, preds: list[Column], bucket: str = "bucket",
-                 extra: list[str] | None = None, roles: list[str] | None = None,
-                 n_edges: int = K.N_EDGES) -> DataFrame:
-    """Bin moments per (fold, role) of fold models that score every row once.
-
-    ``preds[f]`` is the prediction of fold ``f``'s model. Each row is read once and
-    aggregated to (bucket, bin) with one error sum per fold; the fold roles are
-    attached to that small table, not to the rows.
+def sweep_moments(df: DataFrame, label: str, preds: dict[str, list[Column]], bucket: str = "bucket",
+                  extra: list[str] | None = None, roles: list[str] | None = None,
+                  n_edges: int = K.N_EDGES) -> DataFrame:
+    """Bin moments per (param_key, fold, role) of fold models that score every row once.
+
+    ``preds[key][f]`` is the prediction of fold ``f``'s model under parameter set ``key``.
+    Each row is read once and aggregated to (bucket, bin) with one error sum per model;
+    the fold roles are attached to that small table, not to the rows.
     """
     extra = extra or []
-    k = len(preds)
+    k = len(next(iter(preds.values())))
     y = F.col(label).cast("double")
     sums = []
-    for p in preds:
-        p = p.cast("double")
-        sums.append(
-            F.struct(
-                F.sum((y - p) * (y - p)).alias("sse"),
-                F.sum(F.abs(y - p)).alias("sae"),
-                F.count_if(bad_prediction(p)).alias("bad"),
+    for key, models in preds.items():
+        for fold, p in enumerate(models):
+            p = p.cast("double")
+            sums.append(
+                F.struct(
+                    F.lit(key).alias("param_key"),
+                    F.lit(fold).alias("fold"),
+                    F.sum((y - p) * (y - p)).alias("sse"),
+                    F.sum(F.abs(y - p)).alias("sae"),
+                    F.count_if(bad_prediction(p)).alias("bad"),
+                )
             )
-        )
     table = df.groupBy(*extra, bucket, label_bin(y, n_edges).alias("bin")).agg(
-        *_label_moments(y), F.array(*sums).alias("_folds")
+        *_label_moments(y), F.array(*sums).alias("_models")
     )
+    moments = ["n", "y_mean", "y_m2", "y_min", "y_max"]
     roled = (
-        table.withColumn("_pair", F.explode(roles_of_bucket(F.col(bucket), k, roles)))
-        .withColumn("_f", F.element_at("_folds", F.col("_pair.fold") + 1))
-        .select(
-            *extra, F.col("_pair.fold").alias("fold"), F.col("_pair.role").alias("role"), "bin",
-            "n", "y_mean", "y_m2", "y_min", "y_max", "_f.sse", "_f.sae", "_f.bad",
-        )
+        table.withColumn("_m", F.explode("_models"))
+        .withColumn("_pairs", roles_of_bucket(F.col(bucket), k, roles))
+        .withColumn("_pair", F.explode(F.filter("_pairs", lambda p: p["fold"] == F.col("_m.fold"))))
+        .select(*extra, "_m.param_key", "_m.fold", F.col("_pair.role").alias("role"), "bin", *moments, "_m.sse", "_m.sae", "_m.bad")
     )
-    return merge_moments(roled, [*extra, "fold", "role"])
+    return merge_moments(roled, [*extra, "param_key", "fold", "role"])
+
+
+def fold_moments(df: DataFrame, label: str, preds: list[Column], bucket: str = "bucket",
+                 extra: list[str] | None = None, roles: list[str] | None = None,
+                 n_edges: int = K.N_EDGES) -> DataFrame:
+    """Bin moments per (fold, role) of one model per fold."""
+    return sweep_moments(df, label, {"": preds}, bucket, extra, roles, n_edges).drop("param_key")
 
 
 def fold_stats(scored: DataFrame, by: list[str], train: str = "train", val: str = "val") -> DataFrame:

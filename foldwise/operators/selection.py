@@ -87,12 +87,15 @@ def top1_trial(trials: DataFrame, by: list[str], r2: str, ties: list[str]) -> Da
 
 def rank_alphas(stats: DataFrame, by: list[str], alpha: str = "alpha", r2: str = "weighted_val_r2",
                 mse: str = "weighted_val_mse", top: int | None = None) -> DataFrame:
-    """Penalties by mean R2 over the folds; ``top`` keeps the best of each model."""
+    """Penalties by mean R2 over the folds; ``top`` keeps the best of each model.
+
+    Means are compared to twelve digits, so that the order of summation cannot decide a rank.
+    """
     mean = stats.groupBy(*by, alpha).agg(
         F.avg(nan_to_null(F.col(r2))).alias("mean_r2"), F.avg(nan_to_null(F.col(mse))).alias("mean_mse"),
         F.count(nan_to_null(F.col(r2))).alias("n_folds"),
     )
-    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("mean_r2"), F.asc_nulls_last("mean_mse"), alpha)
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last(F.round("mean_r2", 12)), F.asc_nulls_last(F.round("mean_mse", 12)), alpha)
     ranked = mean.withColumn("rank", F.row_number().over(order))
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 

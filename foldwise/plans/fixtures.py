@@ -153,15 +153,23 @@ def scored_sql(roles: str) -> str:
     FROM pts JOIN roles r USING (bucket) JOIN fits f ON r.fold = f.fold WHERE r.role IN ({roles}))"""
 
 
+# Whole cents add up the same in any order and engine, so means of event values are exact.
+def _cents() -> Column:
+    return F.sum(F.round(F.col("value") * 100).cast("long"))
+
+
+_CENTS_SQL = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT)"
+
+
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run statistics per (model, fold, parameter key) from events, with ties and failed runs."""
     e = table(spark, sf_dir, "events")
     i = (F.col("event_id") % 7).cast("int")
     base = e.groupBy(
         F.col("event_type").alias("model"), fold_bucket(F.col("user_id"), FOLDS).alias("fold"), i.alias("i")
-    ).agg(F.avg("value").alias("v"), F.max("value").alias("top"))
-    wr2 = F.when(F.col("i") == 6, F.lit(float("nan"))).otherwise(F.round(F.col("v") / 500, 2))
-    r2 = F.when(F.col("i") == 6, F.lit(float("nan"))).otherwise(F.round(F.col("v") / 500, 1))
+    ).agg(_cents().alias("cents"), F.count("*").alias("n"))
+    wr2 = F.when(F.col("i") == 6, F.lit(float("nan"))).otherwise(F.floor(F.col("cents") / (F.col("n") * 500.0)) / 100.0)
+    r2 = F.when(F.col("i") == 6, F.lit(float("nan"))).otherwise(F.floor(F.col("cents") / (F.col("n") * 5000.0)) / 10.0)
     return base.select(
         "model", "fold", "i", F.concat("model", F.lit("_hp_"), "i").alias("param_key"),
         wr2.alias("weighted_val_r2"), (1 - wr2).alias("weighted_val_mse"),
@@ -169,12 +177,12 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATS = """stats AS (
+STATS = f"""stats AS (
     SELECT model, fold, i, model || '_hp_' || i AS param_key, wr2 AS weighted_val_r2, 1 - wr2 AS weighted_val_mse,
            r2 AS val_r2, 1 - r2 AS val_mse
     FROM (SELECT event_type AS model, CAST(user_id % 5 AS INT) AS fold, CAST(event_id % 7 AS INT) AS i,
-                 CASE WHEN event_id % 7 = 6 THEN 'NaN'::DOUBLE ELSE round(avg(value) / 500, 2) END AS wr2,
-                 CASE WHEN event_id % 7 = 6 THEN 'NaN'::DOUBLE ELSE round(avg(value) / 500, 1) END AS r2
+                 CASE WHEN event_id % 7 = 6 THEN 'NaN'::DOUBLE ELSE floor({_CENTS_SQL} / (count(*) * 5e2)) / 1e2 END AS wr2,
+                 CASE WHEN event_id % 7 = 6 THEN 'NaN'::DOUBLE ELSE floor({_CENTS_SQL} / (count(*) * 5e3)) / 1e1 END AS r2
           FROM events GROUP BY event_type, user_id % 5, event_id % 7))"""
 
 
@@ -186,13 +194,13 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 3 + 1).cast("int").alias("layers"),
         F.col("event_type").alias("optimizer"),
         F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).alias("epoch"),
-    ).agg(F.round(F.avg("value") / 500, 6).alias("val_loss"), F.round(F.min("value") / 500, 6).alias("loss"))
+    ).agg((_cents() / (F.count("*") * 50000.0)).alias("val_loss"), (F.min("value") / 500).alias("loss"))
 
 
-HISTORY = """history AS (
+HISTORY = f"""history AS (
     SELECT CAST(user_id % 5 AS INT) AS fold, CAST(user_id % 3 + 1 AS INT) AS layers, event_type AS optimizer,
            CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS epoch,
-           round(avg(value) / 500, 6) AS val_loss, round(min(value) / 500, 6) AS loss
+           {_CENTS_SQL} / (count(*) * 5e4) AS val_loss, min(value) / 500 AS loss
     FROM events GROUP BY 1, 2, 3, 4)"""
 
 
@@ -200,11 +208,11 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search trials per (fold, trial) from events."""
     e = table(spark, sf_dir, "events")
     return e.groupBy(fold_bucket(F.col("user_id"), FOLDS).alias("fold"), F.col("user_id").alias("trial")).agg(
-        F.round(1 - F.avg("value") / 500, 6).alias("weighted_test_r2"), F.round(F.avg("value") / 500, 6).alias("val_loss")
+        (1 - _cents() / (F.count("*") * 50000.0)).alias("weighted_test_r2"), (_cents() / (F.count("*") * 50000.0)).alias("val_loss")
     )
 
 
-TRIALS = """trials AS (
-    SELECT CAST(user_id % 5 AS INT) AS fold, user_id AS trial, round(1 - avg(value) / 500, 6) AS weighted_test_r2,
-           round(avg(value) / 500, 6) AS val_loss
+TRIALS = f"""trials AS (
+    SELECT CAST(user_id % 5 AS INT) AS fold, user_id AS trial, 1 - {_CENTS_SQL} / (count(*) * 5e4) AS weighted_test_r2,
+           {_CENTS_SQL} / (count(*) * 5e4) AS val_loss
     FROM events GROUP BY 1, 2)"""
