@@ -213,7 +213,7 @@ def _gradient(spark: SparkSession, d: str) -> DataFrame:
 
 @query("boosted_cv")
 def boosted_cv(spark: SparkSession, d: str) -> DataFrame:
-    return search.trial_search(_assembled(spark, d), spark, 1, k=FOLDS, limits={"n_estimators": 5, "max_depth": 4}).drop("params", "seconds")
+    return search.trial_search(_assembled(spark, d), spark, 1, k=FOLDS, limits={"n_estimators": (5, 5), "max_depth": (2, 4), "learning_rate": (0.1, 1.0)}).drop("params", "seconds")
 
 
 @query("svr_linear")

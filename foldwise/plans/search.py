@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,26 +79,30 @@ def gradient_search(data: DataFrame, model: str, grid: list[dict], k: int = 5, p
 
 
 def trial_search(data: DataFrame, spark: SparkSession, trials: int, seed: int = 42, k: int = 5, folds: list[int] | None = None,
-                 limits: dict[str, float] | None = None, seconds: float | None = None) -> DataFrame:
+                 limits: dict[str, tuple[float, float]] | None = None, seconds: float | None = None) -> DataFrame:
     """Random search for boosted trees under a trial budget, optionally a time budget per fold.
 
     Returns one row per (fold, trial) with its eight metrics, the trees kept by early
-    stopping and the drawn parameters. ``limits`` caps drawn values to bound the cost.
+    stopping and the drawn parameters. ``limits`` clamps drawn values to bound the cost.
     """
     rows = []
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     for fold in folds if folds is not None else range(k):
         started = time.time()
         drawn = draw_space(spark.range(trials).withColumnRenamed("id", "trial").withColumn("fold", F.lit(fold)), ["fold", "trial"], seed)
         for r in drawn.orderBy("trial").collect():
             if seconds is not None and time.time() - started > seconds:
                 break
-            params = {n: min(v, limits[n]) if limits and n in limits else v for n, v in r.asDict().items() if n not in ("trial", "fold")}
+            params = {n: v for n, v in r.asDict().items() if n not in ("trial", "fold")}
+            for n, (low, high) in (limits or {}).items():
+                params[n] = min(max(params[n], low), high)
             clock = time.time()
             model, kept = stopped_boosting(data, fold, k, params, seed)
             table = metrics(model_moments(model, data, fold, k, ["train", "val"]), ["role"])
             stats = fold_stats(table.withColumn("fold", F.lit(fold)), ["fold"]).first().asDict()
             rows.append((fold, int(r["trial"]), "boosted", 1.0 - stats["val_r2"], time.time() - clock, kept,
                          *[stats[c] for c in _STATS], {n: float(v) for n, v in params.items()}))
+    data.unpersist()
     cols = ", ".join(f"{c} double" for c in _STATS)
     return spark.createDataFrame(
         rows, f"fold int, trial int, estimator string, val_loss double, seconds double, trees int, {cols}, params map<string,double>"
