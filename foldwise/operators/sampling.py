@@ -40,13 +40,13 @@ def take_first(df: DataFrame, sizes: DataFrame, by: list[str], order_cols: list[
     running = Window.partitionBy(*by).orderBy("_p")
     placed = counts.withColumn("_upto", F.sum("_n").over(running))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    wanted = join_small(sizes, totals, by, "left", max_groups).withColumn(
-        "take",
-        F.when(F.coalesce("_total", F.lit(0)) < F.col("take"), F.raise_error(F.lit("group smaller than the sample")).cast("long"))
-        .otherwise(F.col("take")),
-    )
+    # Lets no row through, but stops the job when a group is too small, even one without any row.
+    short = F.coalesce("_total", F.lit(0)) < F.col("take")
+    guard = join_small(sizes, totals, by, "left", max_groups).filter(
+        F.when(short, F.raise_error(F.lit("group smaller than the sample")).cast("boolean")).otherwise(F.lit(False))
+    ).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
     cut = (
-        join_small(placed, wanted.select(*by, "take"), by, "inner", max_groups)
+        join_small(placed, sizes, by, "inner", max_groups)
         .filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_n") < F.col("take")))
         .select(*by, F.col("_p").alias("_cut"), (F.col("take") - F.col("_upto") + F.col("_n")).alias("_left"))
     )
@@ -65,7 +65,7 @@ def take_first(df: DataFrame, sizes: DataFrame, by: list[str], order_cols: list[
         .withColumn("_keep", F.least("_copies", F.col("_left") - F.coalesce("_before", F.lit(0))))
         .filter("_keep > 0")
     )
-    return below.unionByName(_repeat(edge, "_keep").select(*columns))
+    return below.unionByName(_repeat(edge, "_keep").select(*columns)).unionByName(guard)
 
 
 def _repeat(df: DataFrame, times: str) -> DataFrame:
