@@ -150,7 +150,10 @@ def grid_stats(spark: SparkSession, sums: FoldSums, grid: DataFrame, scaler: str
     n = partitions or spark.sparkContext.defaultParallelism
     # Points that differ only in solver labels meet in one task and are solved once.
     spread = grid.select("model", "param_key", "fold", "alpha", "l1_ratio").repartition(n, "fold", "alpha", "l1_ratio")
-    return spread.mapInPandas(solve, STATS_SCHEMA)
+    found = spread.mapInPandas(solve, STATS_SCHEMA)
+    # NaN leaves pandas as null; a failed run is a NaN row.
+    measured = [c.split()[0] for c in STATS_SCHEMA.split(", ") if "_mse" in c or "_r2" in c]
+    return found.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in measured})
 
 
 def predict(fit: Fit, features: list[str]) -> Column:

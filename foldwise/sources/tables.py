@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,15 @@ def load_tables(spark: SparkSession, folder: str, views: bool = False) -> dict[s
     found = list_tables(spark, folder)
     if not found:
         log.warning("no Parquet tables in %s", folder)
-    tables = {name: spark.read.parquet(path) for name, path in found.items()}
+    tables = {}
+    for name, path in found.items():
+        try:
+            tables[name] = spark.read.parquet(path)
+        except AnalysisException as error:
+            # A write that failed leaves a folder without data files.
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            log.warning("no data in %s", path)
     if views:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
