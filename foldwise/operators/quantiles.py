@@ -1,87 +1,99 @@
-"""Exact quantiles by repeated narrowing of a value range.
+"""Exact quantiles by counting in nested cells.
 
-``percentile`` keeps every distinct value of a group in one task. Here each round
-counts the rows of a range in a fixed number of buckets, finds the bucket that holds
-the wanted rank, and goes on inside it with the smallest and largest value found
-there, until both are the same value. A round is one scan with partial aggregation;
-no group is ever gathered, and a value shared by a third of all rows is one bucket.
+``percentile`` keeps every distinct value of a group in one task. Here the range of a
+column is cut into a fixed number of cells and rows are counted per (group, cell); the
+counts name the cell that holds the wanted rank, and only rows of such cells go on to
+the next round, where the cell's own range is cut again, until a cell holds a single
+value. Cells are shared by all groups, so a fold's ranks follow from bucket counts and
+no row is repeated per fold. A round is one scan with partial aggregation and broadcast
+lookups of the few wanted cells; no group is gathered anywhere, and a value held by a
+third of all rows is one cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import nan_to_null
+from foldwise.operators.folds import roles_of_bucket
 from foldwise.operators.joins import join_small
-from foldwise.session import cut_lineage
+from foldwise.session import settled
 
-BUCKETS = 4096
+CELLS = 4096
 
 
 def exact_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: list[float],
-                    groups: int | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """(by, column, prob, value) with linear interpolation between order statistics."""
-    # A literal list, so that an empty ``by`` needs no special case.
-    keys = ["_one", *by]
-    values = F.array(*[nan_to_null(F.col(c).cast("double")) for c in cols])
-    rows = df.select(F.lit(1).alias("_one"), *by, values.alias("_v"))
-
-    stats = rows.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("c"), F.count(F.col("_v")[i]).alias("n"),
-                    F.min(F.col("_v")[i]).alias("lo"), F.max(F.col("_v")[i]).alias("hi"),
-                )
-                for i in range(len(cols))
-            ]
-        ).alias("_s")
-    ).select(*keys, F.inline("_s")).filter("n > 0")
-    wanted = stats.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs]))).withColumn(
+                    groups: int | None = None, cells: int = CELLS) -> DataFrame:
+    """(by, column, prob, value) with linear interpolation between order statistics.
+
+    ``groups`` bounds the number of groups where it is known.
+    """
+    return _quantiles(df, by, by, cols, probs, lambda counts: counts, groups if by else 1, cells)
+
+
+def fold_quantiles(df: DataFrame, cols: list[str], probs: list[float], role: str = "train", bucket: str = "bucket",
+                   k: int = 5, cells: int = CELLS) -> DataFrame:
+    """Quantiles of one role's rows per ``fold``, from counts per bucket."""
+
+    def to_folds(counts: DataFrame) -> DataFrame:
+        paired = counts.withColumn("_p", F.explode(roles_of_bucket(F.col(bucket), k, [role])))
+        return paired.withColumn("fold", F.col("_p.fold")).drop("_p", bucket)
+
+    return _quantiles(df, [bucket], ["fold"], cols, probs, to_folds, k, cells)
+
+
+def _quantiles(df: DataFrame, row_by: list[str], by: list[str], cols: list[str], probs: list[float],
+               regroup: Callable[[DataFrame], DataFrame], groups: int | None, cells: int) -> DataFrame:
+    values = F.array(*[F.struct(F.lit(i).alias("c"), nan_to_null(F.col(c).cast("double")).alias("x")) for i, c in enumerate(cols)])
+    rows = df.select(*row_by, F.inline(values)).filter(F.col("x").isNotNull())
+
+    # One cell per column to begin with: the whole range.
+    max_cells = None if groups is None else groups * len(cols) * len(probs) * 2
+    stats = settled(rows.groupBy(*row_by, "c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), max_cells)
+    cell = stats.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("id", F.lit(0).cast("long"))
+    sizes = regroup(stats.select(*row_by, "c", "n")).groupBy(*by, "c").agg(F.sum("n").alias("n"))
+    wanted = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs]))).withColumn(
         "pos", (F.col("n") - 1) * F.col("prob")
     )
-    ranks = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos"))))).select(
-        *keys, "c", "prob", "pos", "rank", "lo", "hi", F.lit(0).cast("long").alias("base")
+    state = (
+        wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
+        .join(F.broadcast(cell), "c")
+        .select(*by, "c", "prob", "pos", "rank", "id", "lo", "hi", F.lit(0).cast("long").alias("base"))
     )
-    state = cut_lineage(ranks)
+    state = settled(state, max_cells)
+    inside = rows.withColumn("id", F.lit(0).cast("long"))
     while True:
         open_ = state.filter("lo < hi")
         if open_.isEmpty():
             break
-        packed = open_.select(*keys, "c", "lo", "hi").distinct().groupBy(*keys).agg(
-            F.collect_list(F.struct("c", "lo", "hi")).alias("_b")
-        )
-        hit = F.filter("_b", lambda b: F.element_at("_v", b["c"] + 1).between(b["lo"], b["hi"]))
-        inside = (
-            join_small(rows, packed, keys, "inner", groups if by else 1)
-            .withColumn("_h", F.explode(hit))
-            .select(*keys, "_h.c", "_h.lo", "_h.hi", F.element_at("_v", F.col("_h.c") + 1).alias("_x"))
-        )
-        place = F.least(
-            F.floor((F.col("_x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1).cast("long")
-        )
-        counts = inside.groupBy(*keys, "c", "lo", "hi", place.alias("_k")).agg(
-            F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+        # The wanted cells are few: two per (group, column, probability) at most.
+        cut = open_.select("c", "id", "lo", "hi").distinct()
+        place = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1).cast("long"))
+        inside = join_small(inside, cut, ["c", "id"], "inner", max_cells).select(
+            *row_by, "c", "x", F.col("id").alias("parent"), (F.col("id") * cells + place).alias("id")
         )
-        upto = F.sum("_n").over(Window.partitionBy(*keys, "c", "lo", "hi").orderBy("_k"))
+        counts = inside.groupBy(*row_by, "c", "parent", "id").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        ranges = counts.groupBy("c", "id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        upto = Window.partitionBy(*by, "c", "parent").orderBy("id")
+        summed = regroup(counts.select(*row_by, "c", "parent", "id", "n")).groupBy(*by, "c", "parent", "id").agg(
+            F.sum("n").alias("n")
+        ).withColumn("upto", F.sum("n").over(upto))
+        at = F.col("rank") - F.col("base")
         found = (
-            open_.join(counts.withColumn("_upto", upto), [*keys, "c", "lo", "hi"])
-            .filter(
-                (F.col("rank") - F.col("base") < F.col("_upto"))
-                & (F.col("rank") - F.col("base") >= F.col("_upto") - F.col("_n"))
-            )
-            .select(
-                *keys, "c", "prob", "pos", "rank", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-                (F.col("base") + F.col("_upto") - F.col("_n")).alias("base"),
-            )
+            open_.withColumnRenamed("id", "parent").drop("lo", "hi")
+            .join(summed, [*by, "c", "parent"])
+            .filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("n")))
+            .join(ranges, ["c", "id"])
+            .select(*by, "c", "prob", "pos", "rank", "id", "lo", "hi", (F.col("base") + F.col("upto") - F.col("n")).alias("base"))
         )
-        state = cut_lineage(state.filter("lo >= hi").unionByName(found))
+        state = settled(state.filter("lo >= hi").unionByName(found), max_cells)
+        inside = inside.drop("parent")
 
-    low = F.min_by("lo", "rank")
-    high = F.max_by("lo", "rank")
     names = F.array(*[F.lit(c) for c in cols])
-    return state.groupBy(*keys, "c", "prob", "pos").agg(low.alias("_a"), high.alias("_z")).select(
+    return state.groupBy(*by, "c", "prob", "pos").agg(F.min_by("lo", "rank").alias("_a"), F.max_by("lo", "rank").alias("_z")).select(
         *by, F.element_at(names, F.col("c") + 1).alias("column"), "prob",
         (F.col("_a") + (F.col("pos") - F.floor("pos")) * (F.col("_z") - F.col("_a"))).alias("value"),
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise import constants as K
+from foldwise.functions.scalar import nan_to_null
 from foldwise.operators.joins import join_small
 
 PREFIX_HEX = 5
@@ -34,9 +35,23 @@ def take_first(df: DataFrame, sizes: DataFrame, by: list[str], order_cols: list[
     ``sizes`` holds one row per group with the wanted number ``take``. A group
     with fewer rows stops the job, as a draw without replacement must.
     """
-    columns = df.columns
-    tagged = df.withColumn("_d", order_digest(order_cols, seed)).withColumn("_p", F.substring("_d", 1, PREFIX_HEX))
+    tagged = _tagged(df, F.lit(True), order_cols, seed)
     counts = tagged.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    return _draw(df, tagged, counts, sizes, by, F.lit(False), max_groups)
+
+
+def _tagged(df: DataFrame, drawn: Column, order_cols: list[str], seed: int) -> DataFrame:
+    """Digest and digest prefix of the rows to draw from; other rows have none."""
+    return df.withColumn("_d", F.when(drawn, order_digest(order_cols, seed))).withColumn("_p", F.substring("_d", 1, PREFIX_HEX))
+
+
+def _draw(df: DataFrame, tagged: DataFrame, counts: DataFrame, sizes: DataFrame, by: list[str], kept: Column,
+          max_groups: int | None) -> DataFrame:
+    """Rows that are ``kept`` anyway, and of each group's tagged rows the first ``take``.
+
+    One scan counts, one writes the rows below the cut, one handles the prefix of the cut.
+    """
+    columns = df.columns
     running = Window.partitionBy(*by).orderBy("_p")
     placed = counts.withColumn("_upto", F.sum("_n").over(running))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
@@ -50,10 +65,10 @@ def take_first(df: DataFrame, sizes: DataFrame, by: list[str], order_cols: list[
         .filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_n") < F.col("take")))
         .select(*by, F.col("_p").alias("_cut"), (F.col("take") - F.col("_upto") + F.col("_n")).alias("_left"))
     )
-    near = join_small(tagged, cut, by, "inner", max_groups)
-    below = near.filter(F.col("_p") < F.col("_cut")).select(*columns)
+    below = join_small(tagged, cut, by, "left", max_groups).filter(kept | (F.col("_p") < F.col("_cut"))).select(*columns)
     edge = (
-        near.filter(F.col("_p") == F.col("_cut"))
+        join_small(tagged.filter(F.col("_p").isNotNull()), cut, by, "inner", max_groups)
+        .filter(F.col("_p") == F.col("_cut"))
         .groupBy(*columns, "_d", "_left")
         .agg(F.count("*").alias("_copies"))
         .withColumn(
@@ -82,7 +97,7 @@ def filter_label(df: DataFrame, label: str, low: float | None = None, high: floa
     """Rows with ``low <= label < high``; a bound left out does not apply."""
     tests = []
     if low is not None:
-        tests.append(F.col(label) >= low)
+        tests.append((F.col(label) >= low) & ~F.isnan(label))
     if high is not None:
         tests.append(F.col(label) < high)
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
@@ -90,12 +105,16 @@ def filter_label(df: DataFrame, label: str, low: float | None = None, high: floa
 
 def downsample(df: DataFrame, by: list[str], label: str, order_cols: list[str], seed: int = 42,
                low: float = K.LOW_BAND, high: float = K.HIGH_BAND, max_groups: int | None = None) -> DataFrame:
-    """All rows with label >= ``low``, and of the rest exactly as many as lie above ``high``."""
-    kept = df.filter(F.col(label) >= low)
-    # Groups without a high row take none, so they need no line in ``sizes``.
-    sizes = df.filter(F.col(label) > high).groupBy(*by).agg(F.count("*").alias("take"))
-    drawn = take_first(df.filter(F.col(label) < low), sizes, by, order_cols, seed, max_groups)
-    return kept.unionByName(drawn)
+    """All rows with label >= ``low``, and of the rest exactly as many as lie above ``high``.
+
+    Rows without a label drop out.
+    """
+    y = nan_to_null(F.col(label).cast("double"))
+    tagged = _tagged(df, y < low, order_cols, seed)
+    # High rows have no prefix, so the counting scan also gives the number to draw.
+    counts = tagged.filter((y < low) | (y > high)).groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    sizes = counts.filter(F.col("_p").isNull()).select(*by, F.col("_n").alias("take"))
+    return _draw(df, tagged, counts.filter(F.col("_p").isNotNull()), sizes, by, F.coalesce(y >= low, F.lit(False)), max_groups)
 
 
 def make_variants(df: DataFrame, by: list[str], label: str, order_cols: list[str], seed: int = 42,

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from foldwise.functions.scalar import inverse_normal
 from foldwise.operators.folds import assign_roles, roles_of_bucket
 from foldwise.operators.joins import join_small
-from foldwise.operators.quantiles import exact_quantiles
-from foldwise.session import cut_lineage
+from foldwise.operators.quantiles import exact_quantiles, fold_quantiles
+from foldwise.session import settled
 
 STATELESS = {"LogScaler", "IdentityScaler"}
 AFFINE = {"StandardScaler", "MinMaxScaler", "MaxAbsScaler", "RobustScaler"}
@@ -30,6 +30,7 @@ SCALERS = [
 N_QUANTILES = 1000
 NORMAL_LIMIT = 5.199337582605575
 QUANTILE_ACCURACY = 20_000
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def _unit_if_zero(c: Column) -> Column:
@@ -91,8 +92,7 @@ def _from_stats(stats: DataFrame, by: list[str], cols: list[str], kind: str) ->
     return stats.select(*by, _params([(c, one(c)) for c in cols]).alias("params"))
 
 
-def _from_quantiles(df: DataFrame, by: list[str], cols: list[str], groups: int | None) -> DataFrame:
-    q = exact_quantiles(df, by, cols, [0.25, 0.5, 0.75], groups)
+def _from_quantiles(q: DataFrame, by: list[str]) -> DataFrame:
     at = {p: F.max(F.when(F.col("prob") == p, F.col("value"))) for p in (0.25, 0.5, 0.75)}
     per = q.groupBy(*by, "column").agg(F.array(at[0.5], _unit_if_zero(at[0.75] - at[0.25])).alias("p"))
     return per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "p"))).alias("params"))
@@ -117,6 +117,7 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
     keys = ["_one", *by]
     rows = df.select(F.lit(1).alias("_one"), *by, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
     groups = groups if by else 1
+    bound = None if groups is None else groups * len(cols)
     start = rows.select(*keys).distinct()
     state = start.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1)))).select(
         *keys, "c", F.lit(0.0).alias("mid"), F.lit(span).alias("half")
@@ -151,11 +152,11 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
         move = F.when(F.abs(move) <= F.col("_h"), move).otherwise(0.0)
         best = tried.groupBy(*keys, "c").agg(F.max_by(F.col("lam") + move, "_l").alias("mid"))
         half = state.select(*keys, "c", (F.col("half") * 2.0 / (points - 1)).alias("half"))
-        state = cut_lineage(best.join(half, [*keys, "c"]))
+        state = settled(best.join(half, [*keys, "c"]), bound)
     # The last batch holds its middle point, whose moments standardise the output.
     final = scored(state.withColumn("half", F.lit(0.0)))
     names = F.array(*[F.lit(c) for c in cols])
-    per = cut_lineage(final).select(
+    per = settled(final, bound).select(
         *by, F.element_at(names, F.col("c") + 1).alias("column"),
         F.array("lam", "mean", _unit_if_zero(F.sqrt("var"))).alias("p"),
     ).dropDuplicates([*by, "column"])
@@ -175,7 +176,7 @@ def fit_scaler(df: DataFrame, by: list[str], cols: list[str], kind: str, groups:
     if kind in STATELESS:
         return None
     if kind == "RobustScaler":
-        return _from_quantiles(df, by, cols, groups)
+        return _from_quantiles(exact_quantiles(df, by, cols, QUARTILES, groups), by)
     if kind == "PowerTransformer":
         return fit_power(df, by, cols, groups)
     if kind == "QuantileTransformer":
@@ -196,6 +197,8 @@ def fit_fold_scaler(df: DataFrame, cols: list[str], kind: str, role: str = "trai
             "fold", F.col("_pair.fold")
         )
         return _from_stats(_merge_stats(roled, ["fold"], cols), ["fold"], cols, kind)
+    if kind == "RobustScaler":
+        return _from_quantiles(fold_quantiles(df, cols, QUARTILES, role, bucket, k), ["fold"])
     rows = assign_roles(df.select(bucket, *cols), bucket, k, [role])
     return fit_scaler(rows, ["fold"], cols, kind, groups=k)
 

@@ -41,11 +41,8 @@ SELECT model, fold, role, n, round(mse, 8) AS mse, round(r2, 8) AS r2, round(mae
   round(weighted_mse, 8) AS weighted_mse, round(weighted_r2, 8) AS weighted_r2 FROM m""")
 def _fold_metrics(spark: SparkSession, d: str) -> DataFrame:
     df, line, mean = preds(spark, d)
-    both = None
-    for name, models in (("line", line), ("naive", mean)):
-        m = metrics.metrics(metrics.fold_moments(df, "y", models, "bucket"), ["fold", "role"]).withColumn("model", F.lit(name))
-        both = m if both is None else both.unionByName(m)
-    return _round(both.drop("bad"), metrics.METRICS)
+    table = metrics.sweep_moments(df, "y", {"line": line, "naive": mean}, "bucket").withColumnRenamed("param_key", "model")
+    return _round(metrics.metrics(table, ["model", "fold", "role"]).drop("bad"), metrics.METRICS)
 
 
 @query("fold_stats", f"""
@@ -56,11 +53,9 @@ SELECT t.model, t.fold, round(t.weighted_mse, 8) AS weighted_train_mse, round(t.
 FROM m t JOIN m v ON t.model = v.model AND t.fold = v.fold AND t.role = 'train' AND v.role = 'val'""")
 def fold_stats(spark: SparkSession, d: str) -> DataFrame:
     df, line, mean = preds(spark, d)
-    both = None
-    for name, models in (("line", line), ("naive", mean)):
-        m = metrics.metrics(metrics.fold_moments(df, "y", models, "bucket", roles=["train", "val"]), ["fold", "role"])
-        m = metrics.fold_stats(m, ["fold"]).withColumn("model", F.lit(name))
-        both = m if both is None else both.unionByName(m)
+    table = metrics.sweep_moments(df, "y", {"line": line, "naive": mean}, "bucket", roles=["train", "val"])
+    scored = metrics.metrics(table.withColumnRenamed("param_key", "model"), ["model", "fold", "role"])
+    both = metrics.fold_stats(scored, ["model", "fold"])
     return _round(both, [c for c in both.columns if c not in ("model", "fold")])
 
 

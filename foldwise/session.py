@@ -38,3 +38,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small per-iteration state table."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Largest state table that may come back to the driver between two rounds of an iteration.
+SETTLED_ROWS = 100_000
+
+
+def settled(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """A state table computed now, so that the next round starts from its rows and not from its plan.
+
+    With a proven bound the few rows return to the driver, which costs one job; without
+    one the table is checkpointed.
+    """
+    if max_rows is None or max_rows > SETTLED_ROWS:
+        return cut_lineage(df)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
