@@ -11,7 +11,7 @@ from foldwise.functions.scalar import is_missing
 
 
 def drop_ids(df: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    return df.drop(*(ids or K.ID_COLUMNS))
+    return df.drop(*(K.ID_COLUMNS if ids is None else ids))
 
 
 def feature_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str]:
@@ -46,7 +46,7 @@ def harmonise_types(df: DataFrame, exclude: list[str] | None = None) -> DataFram
 
 
 def force_double(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in (cols or K.FORCED_DOUBLE)})
+    return df.withColumns({c: F.col(c).cast("double") for c in (K.FORCED_DOUBLE if cols is None else cols)})
 
 
 def fill_zero(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -54,14 +54,14 @@ def fill_zero(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     types = dict(df.dtypes)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     return df.withColumns(
-        {c: F.when(is_missing(F.col(c), types[c]), 0).otherwise(F.col(c)).cast(types[c]) for c in (cols or numeric)}
+        {c: F.when(is_missing(F.col(c), types[c]), 0).otherwise(F.col(c)).cast(types[c]) for c in (numeric if cols is None else cols)}
     )
 
 
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows and missing values per column, from one pass."""
     types = dict(df.dtypes)
-    cols = cols or df.columns
+    cols = df.columns if cols is None else cols
     wide = df.agg(F.count("*").alias("rows"), *[F.count_if(is_missing(F.col(c), types[c])).alias(f"_{i}") for i, c in enumerate(cols)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("missing")) for i, c in enumerate(cols)])
     return wide.select("rows", F.inline(pairs))

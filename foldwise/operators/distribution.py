@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.bins import bin_centre, histogram_bin
-from foldwise.operators.joins import join_small
+from foldwise.operators.joins import join_small, single_key
 
 KDE_POINTS = 200
 KDE_CUT = 3
@@ -32,9 +32,9 @@ def histogram(df: DataFrame, by: list[str], col: str, n: int) -> DataFrame:
 def density_histogram(df: DataFrame, by: list[str], col: str, n: int) -> DataFrame:
     """Histogram scaled to an area of one."""
     h = histogram(df, by, col, n)
-    totals = h.groupBy(*by).agg(F.sum("count").alias("_total"))
-    joined = h.join(totals, by) if by else h.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return joined.withColumn("density", F.col("count") / F.col("_total") / F.lit(1.0 / n)).drop("_total")
+    # The histogram has n rows per group.
+    total = F.sum("count").over(Window.partitionBy(*by))
+    return h.withColumn("density", F.col("count") / total / F.lit(1.0 / n))
 
 
 def kde(df: DataFrame, by: list[str], col: str, points: int = KDE_POINTS, cut: int = KDE_CUT,
@@ -57,7 +57,7 @@ def kde(df: DataFrame, by: list[str], col: str, points: int = KDE_POINTS, cut: i
     if by:
         joined = join_small(rows, stats, by, "inner", groups)
     else:
-        key = F.lit(1).alias("_k")
+        key = single_key().alias("_k")
         joined = join_small(rows.select("*", key), stats.select("*", key), ["_k"], "inner", 1).drop("_k")
     kernel = F.exp(-((F.col("_from") + F.col("point") * F.col("_step") - F.col("_x")) ** 2) / (F.col("_h") ** 2 * 2.0))
     return (

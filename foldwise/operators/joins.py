@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 
 
+def single_key() -> Column:
+    """Join key for a table that is one group.
+
+    Not a literal: the optimizer removes a literal key and is left with a nested-loop join.
+    """
+    return F.spark_partition_id() * 0
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                max_rows: int | None = None) -> DataFrame:
     """Equi-join with a table of at most ``max_rows`` rows.

@@ -134,48 +134,58 @@ def _centre(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray,
     return np.asarray(row["m"], dtype=float), np.where(s > 0, s, 1.0), float(row["y"])
 
 
+def _scaled(features: list[str], label: str, shift: np.ndarray, scale: np.ndarray, label_shift: float) -> list[Column]:
+    """``z``: one, the scaled features, the centred label."""
+    z = [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(features, shift, scale)]
+    return [F.lit(1.0), *z, F.col(label).cast("double") - label_shift]
+
+
 def fold_sums(df: DataFrame, features: list[str], label: str, bucket: str = "bucket", k: int = 5,
               roles: list[str] | None = None, n_edges: int = K.N_EDGES) -> FoldSums:
     """Cross products per (fold, role) of the whole table, in two scans (centre, sums)."""
-    shift, scale, label_shift = _centre(df, features, label)
-    width = len(features) + 2
-    z = [F.lit(1.0)]
-    z += [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(features, shift, scale)]
-    z.append(F.col(label).cast("double") - label_shift)
+    out = FoldSums(features, *_centre(df, features, label), k)
     binned = df.withColumn("_bin", label_bin(F.col(label), n_edges))
-    sums = cross_sums(binned, [bucket, "_bin"], z)
-    roled = (
-        sums.withColumn("_pair", F.explode(roles_of_bucket(F.col(bucket), k, roles)))
-        .groupBy(F.col("_pair.fold").alias("fold"), F.col("_pair.role").alias("role"), "_bin", "pos")
-        .agg(F.sum("v").alias("v"))
+    sums = cross_sums(binned, [bucket, "_bin"], _scaled(features, label, out.shift, out.scale, out.label_shift))
+    roled = sums.withColumn("_pair", F.explode(roles_of_bucket(F.col(bucket), k, roles))).select(
+        F.col("_pair.fold").alias("fold"), F.col("_pair.role").alias("role"), "_bin", "pos", "v"
     )
+    return _filled(out, roled.groupBy("fold", "role", "_bin", "pos").agg(F.sum("v").alias("v")))
+
+
+def split_sums(df: DataFrame, features: list[str], label: str, k: int = 5, fold: str = "fold", role: str = "split",
+               n_edges: int = K.N_EDGES) -> FoldSums:
+    """The same table for rows that already carry their fold and split."""
+    out = FoldSums(features, *_centre(df, features, label), k)
+    binned = df.withColumns({"fold": F.col(fold), "role": F.col(role), "_bin": label_bin(F.col(label), n_edges)})
+    z = _scaled(features, label, out.shift, out.scale, out.label_shift)
+    return _filled(out, cross_sums(binned, ["fold", "role", "_bin"], z))
+
+
+def _filled(out: FoldSums, sums: DataFrame) -> FoldSums:
+    """Bin weights applied to (fold, role, bin) sums, the results of each (fold, role) collected."""
     # Position 0 is the row count of the bin.
-    n = roled.filter("pos = 0").select("fold", "role", "_bin", (F.lit(1.0) / (F.col("v") + K.INVERSE_COUNT_EPS)).alias("_inv"))
+    n = sums.filter("pos = 0").select("fold", "role", "_bin", (F.lit(1.0) / (F.col("v") + K.INVERSE_COUNT_EPS)).alias("_inv"))
     total = n.groupBy("fold", "role").agg(F.sum("_inv").alias("_total"))
     weights = n.join(total, ["fold", "role"]).select("fold", "role", "_bin", (F.col("_inv") / F.col("_total")).alias("_w"))
     flat = (
-        roled.join(weights, ["fold", "role", "_bin"])
+        sums.join(weights, ["fold", "role", "_bin"])
         .groupBy("fold", "role", "pos")
         .agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.sqrt("_w")).alias("s"), F.sum(F.col("v") * F.col("_w")).alias("w"))
         .groupBy("fold", "role")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "v", "s", "w"))).alias("g"))
     )
-    cells = k * 4 * 3 * packed_size(width)
+    cells = out.k * 4 * 3 * packed_size(out.width)
     if cells > MAX_DRIVER_CELLS:
-        raise ValueError(f"{width} columns need {cells} numbers per fold table; reduce the features")
-    out = FoldSums(features, shift, scale, label_shift, k)
+        raise ValueError(f"{out.width} columns need {cells} numbers per fold table; reduce the features")
     for r in flat.select("fold", "role", F.col("g.v").alias("v"), F.col("g.s").alias("s"), F.col("g.w").alias("w")).collect():
-        out.table[(r["fold"], r["role"])] = Sums(unpack(r["v"], width), unpack(r["s"], width), unpack(r["w"], width))
+        out.table[(r["fold"], r["role"])] = Sums(*[unpack(r[c], out.width) for c in ("v", "s", "w")])
     return out
 
 
 def sums_by_fold(rows: DataFrame, features: list[str], label: str, k: int, role: str = "train") -> FoldSums:
     """Plain cross products of rows that already carry their ``fold``."""
-    shift, scale, label_shift = _centre(rows, features, label)
-    z = [F.lit(1.0)]
-    z += [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(features, shift, scale)]
-    z.append(F.col(label).cast("double") - label_shift)
-    out = FoldSums(features, shift, scale, label_shift, k)
+    out = FoldSums(features, *_centre(rows, features, label), k)
+    z = _scaled(features, label, out.shift, out.scale, out.label_shift)
     packed = cross_sums(rows, ["fold"], z).groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("g"))
     for r in packed.select("fold", F.col("g.v").alias("v")).collect():
         m = unpack(r["v"], out.width)

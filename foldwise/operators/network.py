@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise import constants as K
-from foldwise.operators.joins import attach_winner
+from foldwise.operators.joins import attach_winner, single_key
 from foldwise.operators.metrics import metrics, pooled_metrics
 from foldwise.operators.selection import best_per_fold
 from foldwise.session import cut_lineage
@@ -129,7 +129,7 @@ def network_report(moments: DataFrame, fold: str, config: list[str]) -> tuple[Da
     results = metrics(moments, [fold, *config])
     best = best_per_fold(results, [fold], "weighted_r2", config)
     won = moments.join(best.select(fold, *config), [fold, *config], "left_semi")
-    key = F.lit(1).alias("_k")
+    key = single_key().alias("_k")
     total = pooled_metrics(won.select("*", key), ["_k"]).select(
         "_k", F.col("mse").alias("total_mse"), F.col("r2").alias("total_r2"),
         F.col("weighted_mse").alias("total_wmse"), F.col("weighted_r2").alias("total_wr2"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from foldwise import constants as K
 from foldwise.functions.scalar import nan_to_null
 from foldwise.operators.joins import join_small
+from foldwise.session import cut_lineage
 
 PREFIX_HEX = 5
 _CHUNK = 100_000
@@ -111,8 +112,9 @@ def downsample(df: DataFrame, by: list[str], label: str, order_cols: list[str],
     """
     y = nan_to_null(F.col(label).cast("double"))
     tagged = _tagged(df, y < low, order_cols, seed)
-    # High rows have no prefix, so the counting scan also gives the number to draw.
-    counts = tagged.filter((y < low) | (y > high)).groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    # High rows have no prefix, so the counting scan also gives the number to draw. The
+    # counts (at most one row per group and prefix) are kept, or each use would scan again.
+    counts = cut_lineage(tagged.filter((y < low) | (y > high)).groupBy(*by, "_p").agg(F.count("*").alias("_n")))
     sizes = counts.filter(F.col("_p").isNull()).select(*by, F.col("_n").alias("take"))
     return _draw(df, tagged, counts.filter(F.col("_p").isNotNull()), sizes, by, F.coalesce(y >= low, F.lit(False)), max_groups)
 

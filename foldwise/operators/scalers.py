@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import inverse_normal
 from foldwise.operators.folds import assign_roles, roles_of_bucket
-from foldwise.operators.joins import join_small
+from foldwise.operators.joins import join_small, single_key
 from foldwise.operators.quantiles import exact_quantiles, fold_quantiles
 from foldwise.session import settled
 
@@ -115,7 +115,7 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
     through the three of them.
     """
     keys = ["_one", *by]
-    rows = df.select(F.lit(1).alias("_one"), *by, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
+    rows = df.select(single_key().alias("_one"), *by, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
     groups = groups if by else 1
     bound = None if groups is None else groups * len(cols)
     start = rows.select(*keys).distinct()
@@ -242,7 +242,7 @@ def apply_scaler(df: DataFrame, params: DataFrame | None, by: list[str], cols: l
     if by:
         joined = join_small(df, params, by, "inner", groups)
     else:
-        key = F.lit(1).alias("_k")
+        key = single_key().alias("_k")
         joined = join_small(df.select("*", key), params.select("*", key), ["_k"], "inner", 1).drop("_k")
 
     def p(c: str, i: int) -> Column:

@@ -184,7 +184,7 @@ def refit_winners(spark: SparkSession, d: str) -> DataFrame:
     sums = fold_sums(df, LINE_FEATURES, "y", "bucket", FOLDS)
     grid = linear_grid(shared_spaces(spark, d).filter("model IN ('lasso', 'ridge')"))
     stats = search.linear_grid_search(df, LINE_FEATURES, "y", grid, k=FOLDS, sums=sums)
-    return search.refit_winners(df, LINE_FEATURES, "y", stats, grid, sums).drop("coefs")
+    return search.refit_winners(stats, grid, sums).drop("coefs")
 
 
 @query("alpha_ranking")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,17 @@ from foldwise.operators.svr import fit_machines, score_machines
 from foldwise.operators.trees import forest, gradient_linear, model_moments, stopped_boosting, sweep
 
 
-def linear_grid_search(df: DataFrame, features: list[str], label: str, grid: DataFrame, scaler: str = "StandardScaler",
+def linear_grid_search(df: DataFrame | None, features: list[str], label: str, grid: DataFrame, scaler: str = "StandardScaler",
                        bucket: str = "bucket", k: int = 5, sums: FoldSums | None = None, train: str = "train",
                        val: str = "val") -> DataFrame:
     """Every grid row of every fold, fitted and scored from one scan of the data.
 
     ``grid`` holds ``model, param_key, alpha, l1_ratio``; rows equal in the penalty differ
-    only in solver labels and share their fit.
+    only in solver labels and share their fit. ``df`` is not read when ``sums`` are given.
     """
     sums = sums or fold_sums(df, features, label, bucket, k)
     folded = grid if "fold" in grid.columns else fold_grid(grid, list(range(k)))
-    return grid_stats(df.sparkSession, sums, folded, scaler, train, val)
+    return grid_stats(grid.sparkSession, sums, folded, scaler, train, val)
 
 
 def alpha_sweep(df: DataFrame, features: list[str], label: str, models: list[str], low: float = -5.0, high: float = 0.0,
@@ -45,14 +46,18 @@ def alpha_sweep(df: DataFrame, features: list[str], label: str, models: list[str
     return stats.join(F.broadcast(points.select("model", F.col("param_key").alias("param"), "alpha")), ["model", "param"])
 
 
-def refit_winners(df: DataFrame, features: list[str], label: str, stats: DataFrame, grid: DataFrame, sums: FoldSums,
+def refit_winners(stats: DataFrame, grid: DataFrame, sums: FoldSums,
                   scaler: str = "StandardScaler") -> DataFrame:
     """Each fold's best parameters fitted again on train plus validation rows and scored on the test rows."""
     best = best_params(stats, ["model", "fold"], "param").select("model", "fold", "param_key")
     chosen = resolve_params(best, grid)
-    out = grid_stats(df.sparkSession, sums, chosen, scaler, "train_val", "test")
+    return as_test(grid_stats(stats.sparkSession, sums, chosen, scaler, "train_val", "test"))
+
+
+def as_test(stats: DataFrame) -> DataFrame:
+    """Metric names of a refit: train_val for train, test for val."""
     sides = {"train": "train_val", "val": "test"}
-    return out.withColumnsRenamed(
+    return stats.withColumnsRenamed(
         {f"{w}{a}_{m}": f"{w}{b}_{m}" for a, b in sides.items() for w in ("", "weighted_") for m in ("mse", "r2")}
     )
 
@@ -66,6 +71,15 @@ def forest_search(data: DataFrame, grid: list[dict], k: int = 5, train: str = "t
     return sweep(data, "random_forest", grid, forest, k, train, val, parallelism=parallelism, fold_grids=grids, keep=keep)
 
 
+def refit_sweep(data: DataFrame, model: str, stats: DataFrame, grid: list[dict], estimator: Callable[[dict], object],
+                k: int = 5, parallelism: int = 4, keep: dict | None = None) -> DataFrame:
+    """Each fold's best parameter set fitted on train plus validation rows and scored on the test rows."""
+    values = {p["param_key"]: p for p in grid}
+    best = best_params(stats, ["model", "fold"]).filter("param_key IS NOT NULL").collect()
+    chosen = {f: [] for f in range(k)} | {r["fold"]: [values[r["param_key"]]] for r in best if r["param_key"] in values}
+    return as_test(sweep(data, model, [], estimator, k, "train_val", "test", parallelism=parallelism, fold_grids=chosen, keep=keep))
+
+
 def gradient_search(data: DataFrame, model: str, grid: list[dict], k: int = 5, parallelism: int = 4,
                     trial_epochs: int = 100) -> DataFrame:
     """Gradient-style linear models with a short trial run before the full one."""

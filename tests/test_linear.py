@@ -92,7 +92,7 @@ def test_grid_keys_and_parameter_sharing(spark, data, sums):
     stats = search.linear_grid_search(data[0], FEATURES, "y", grid, sums=sums)
     assert stats.count() == (54 * 2 + 1 + 54 + 1) * 5
     assert stats.filter("model = 'lasso'").select(F.round("val_mse", 12)).distinct().count() <= 3 * 5
-    done = search.refit_winners(data[0], FEATURES, "y", stats, grid, sums).collect()
+    done = search.refit_winners(stats, grid, sums).collect()
     assert len(done) == 10 and all(r["test_r2"] > 0.5 for r in done)
 
 
