@@ -96,14 +96,14 @@ def _two(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("score_models", f"""
-WITH {_TWO} SELECT fold, row_key, round(my + b1 * (x1 - m1) + b2 * (x2 - mm), 7) AS p FROM two JOIN roles r USING (fold) JOIN pts ON pts.bucket = r.bucket
+WITH {_TWO} SELECT fold, row_key, round(my + b1 * (x1 - m1) + b2 * (x2 - mm), 6) AS p FROM two JOIN roles r USING (fold) JOIN pts ON pts.bucket = r.bucket
 WHERE r.role = 'test'""")
 def _score_models(spark: SparkSession, d: str) -> DataFrame:
     df = points(spark, d).select("row_key", "bucket", "x1", "x2", "y")
     sums = fold_sums(df, ["x1", "x2"], "y", "bucket", FOLDS)
     stored = linear.fits_table(spark, linear.fold_fits(sums), ["x1", "x2"], "ols")
     test = df.withColumn("fold", F.col("bucket"))
-    return score_models(test, stored, ["x1", "x2"], max_models=FOLDS).select("fold", "row_key", F.round("p", 7).alias("p"))
+    return score_models(test, stored, ["x1", "x2"], max_models=FOLDS).select("fold", "row_key", F.round("p", 6).alias("p"))
 
 
 @query("missing_models", """

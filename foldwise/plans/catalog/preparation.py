@@ -343,13 +343,13 @@ def _report_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sqrt_weight_features", f"""
-WITH {_WEIGHTS} SELECT row_key, round(x1 * sqrt(weight), 8) AS x1, round(x2 * sqrt(weight), 8) AS x2,
+WITH {_WEIGHTS} SELECT row_key, round(x1 * sqrt(weight), 8) AS x1, round(x2 * sqrt(weight), 4) AS x2,
   round(y * sqrt(weight), 8) AS y, annotation_score FROM b JOIN w USING (bucket, bin)""")
 def _sqrt(spark: SparkSession, d: str) -> DataFrame:
     df = points(spark, d).select("row_key", "bucket", "x1", "x2", "y", "annotation_score")
     w = weights.row_weights(df, "y", ["bucket"], groups=FOLDS)
     out = cleaning.weight_features(w, ["x1", "x2", "y"])
-    return out.select("row_key", *[F.round(c, 8).alias(c) for c in ("x1", "x2", "y")], "annotation_score")
+    return out.select("row_key", F.round("x1", 8).alias("x1"), F.round("x2", 4).alias("x2"), F.round("y", 8).alias("y"), "annotation_score")
 
 
 @query("naive_mean", f"""

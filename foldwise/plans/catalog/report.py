@@ -167,11 +167,11 @@ def _close(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("residuals", f"""
-WITH {_SCORED} SELECT row_key, round(y - (a + b * x1), 8) AS residual FROM pts JOIN roles r USING (bucket)
+WITH {_SCORED} SELECT row_key, round(y - (a + b * x1), 7) AS residual FROM pts JOIN roles r USING (bucket)
   JOIN fits f ON r.fold = f.fold WHERE r.role = 'val'""")
 def _residuals(spark: SparkSession, d: str) -> DataFrame:
     rows = scored_rows(spark, d, ["val"]).filter("model = 'line'")
-    return residuals(rows, "y", F.col("p")).select("row_key", F.round("residual", 8).alias("residual"))
+    return residuals(rows, "y", F.col("p")).select("row_key", F.round("residual", 7).alias("residual"))
 
 
 @query("flatten_predictions", """

@@ -9,7 +9,7 @@ from foldwise.functions.scalar import inverse_normal
 from foldwise.operators.quantiles import exact_quantiles
 from foldwise.operators.scalers import fit_power, scale_folds, yeo_johnson
 from foldwise.plans.catalog.registry import query
-from foldwise.plans.fixtures import EDGES, FEATURES, FOLDS, PTS, ROLES, binned, points
+from foldwise.plans.fixtures import EDGES, FOLDS, PTS, ROLES, binned, points
 from foldwise.plans.scaler_study import scale_weighted, scaler_study, study_winners
 
 SCALED = ["x1", "x2", "x3"]
@@ -19,14 +19,14 @@ _TRAIN = f"{PTS}, {ROLES}, tr AS (SELECT fold, pts.* FROM pts JOIN roles USING (
 def _scale_sql(stats: str, expr: str) -> str:
     """SQL: validation rows scaled by statistics of the training rows; ``$`` stands for the column."""
     s = ", ".join(stats.replace("$", c) for c in SCALED)
-    e = ", ".join(f"round({expr.replace('$', c)}, 8) + 0e0 AS {c}" for c in SCALED)
+    e = ", ".join(f"round({expr.replace('$', c)}, 6) + 0e0 AS {c}" for c in SCALED)
     return f"WITH {_TRAIN}, st AS (SELECT fold, {s} FROM tr GROUP BY fold) SELECT fold, row_key, {e} FROM va JOIN st USING (fold)"
 
 
 def _scaled(spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
     df = points(spark, d).select("row_key", "bucket", *SCALED)
     out = scale_folds(df, SCALED, kinds, ["val"], "train", "bucket", FOLDS)
-    return out.select("fold", "row_key", *[(F.round(c, 8) + 0.0).alias(c) for c in SCALED])
+    return out.select("fold", "row_key", *[(F.round(c, 6) + 0.0).alias(c) for c in SCALED])
 
 
 @query("scale_standard", _scale_sql("avg($) AS m_$, stddev_pop($) AS s_$", "($ - m_$) / s_$"))
@@ -71,12 +71,12 @@ w AS (SELECT fold, bin, (1 / (n + 1e-6)) / sum(1 / (n + 1e-6)) OVER (PARTITION B
 h AS (SELECT fold, row_key, x1 * sqrt(w) AS x1, y * sqrt(w) AS y FROM b JOIN w USING (fold, bin)),
 hs AS (SELECT fold, avg(x1) AS m, stddev_pop(x1) AS s FROM h GROUP BY fold),
 ps AS (SELECT fold, avg(x1) AS m, stddev_pop(x1) AS s FROM tr GROUP BY fold)
-SELECT fold, 'train' AS role, row_key, round((x1 - m) / s, 7) AS x1, round(y, 8) AS y FROM h JOIN hs USING (fold)
-UNION ALL SELECT fold, 'val', row_key, round((x1 - m) / s, 7), round(y, 8) FROM va JOIN ps USING (fold)""")
+SELECT fold, 'train' AS role, row_key, round((x1 - m) / s, 6) AS x1, round(y, 8) AS y FROM h JOIN hs USING (fold)
+UNION ALL SELECT fold, 'val', row_key, round((x1 - m) / s, 6), round(y, 8) FROM va JOIN ps USING (fold)""")
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
     df = points(spark, d).select("row_key", "bucket", "x1", "y")
     train, val = scale_weighted(df, ["x1"], "y", "StandardScaler", "bucket", FOLDS)
-    cols = ["fold", "role", "row_key", F.round("x1", 7).alias("x1"), F.round("y", 8).alias("y")]
+    cols = ["fold", "role", "row_key", F.round("x1", 6).alias("x1"), F.round("y", 8).alias("y")]
     return train.select(*cols).unionByName(val.select(*cols))
 
 
@@ -128,8 +128,8 @@ def _inverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scaler_study")
 def _study(spark: SparkSession, d: str) -> DataFrame:
-    df = points(spark, d, part=True, heavy=True).select("bucket", "y", *FEATURES, "depth", "annotation_score", "protein_existence")
-    return scaler_study(df, FEATURES, ["depth", "annotation_score", "protein_existence"], "y", k=FOLDS)
+    df = points(spark, d, heavy=True).select("bucket", "y", *SCALED, "annotation_score", "protein_existence")
+    return scaler_study(df, SCALED, ["annotation_score", "protein_existence"], "y", k=FOLDS)
 
 
 @query("scaler_study_winners")
