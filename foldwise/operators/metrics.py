@@ -79,7 +79,7 @@ def metrics(moments: DataFrame, by: list[str], weighting: str = "normalised") ->
     """MSE, R2, MAE and the weighted MSE and R2 per group.
 
     ``normalised`` weighs a bin by its share of the inverse counts, ``inverse_count``
-    by 1/count. One bad prediction turns the whole row to NaN.
+    by 1/count and rows without a bin by 0. One bad prediction turns the whole row to NaN.
     """
     g = Window.partitionBy(*by)
     n, mean, m2 = F.col("n"), F.col("y_mean"), F.col("y_m2")
@@ -87,11 +87,11 @@ def metrics(moments: DataFrame, by: list[str], weighting: str = "normalised") ->
         raw = F.lit(1.0) / (n + K.INVERSE_COUNT_EPS)
         with_weight = moments.withColumn("_inv", raw).withColumn("_w", F.col("_inv") / F.sum("_inv").over(g))
     else:
-        with_weight = moments.withColumn("_w", F.lit(1.0) / n)
+        with_weight = moments.withColumn("_w", F.when(F.col("bin").isNull(), 0.0).otherwise(F.lit(1.0) / n))
     w = F.col("_w")
     sums = (
         with_weight.withColumn("_mu", F.sum(n * mean).over(g) / F.sum(n).over(g))
-        .withColumn("_muw", F.sum(w * n * mean).over(g) / F.sum(w * n).over(g))
+        .withColumn("_muw", F.try_divide(F.sum(w * n * mean).over(g), F.sum(w * n).over(g)))
         .groupBy(*by)
         .agg(
             F.sum(n).alias("n"),
@@ -114,7 +114,7 @@ def metrics(moments: DataFrame, by: list[str], weighting: str = "normalised") ->
         nan_if(failed, F.col("_sse") / total).alias("mse"),
         nan_if(failed, r2_of(F.col("_sse"), F.col("_sst"), F.col("_const"), total)).alias("r2"),
         nan_if(failed, F.col("_sae") / total).alias("mae"),
-        nan_if(failed, F.col("_wsse") / F.col("_wn")).alias("weighted_mse"),
+        nan_if(failed, F.try_divide("_wsse", "_wn")).alias("weighted_mse"),
         nan_if(failed, r2_of(F.col("_wsse"), F.col("_wsst"), F.col("_const"), total)).alias("weighted_r2"),
     )
 
@@ -200,9 +200,7 @@ def global_metrics(df: DataFrame, by: list[str], label: str, pred: str) -> DataF
     Plain metrics cover every row; weighted ones leave out rows without a report bin.
     """
     m = bin_moments(df, by, label, pred, "report")
-    plain = metrics(m, by, "inverse_count").select(*by, "n", "mse", "r2")
-    weighted = metrics(m.filter(F.col("bin").isNotNull()), by, "inverse_count")
-    return plain.join(weighted.select(*by, "weighted_mse", "weighted_r2"), by, "left")
+    return metrics(m, by, "inverse_count").select(*by, "n", "mse", "r2", "weighted_mse", "weighted_r2")
 
 
 def pooled_metrics(moments: DataFrame, by: list[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from foldwise import constants as K
 from foldwise.functions.bins import label_bin
 from foldwise.operators.folds import roles_of_bucket
+from foldwise.session import settled
 
 # Above this many columns the sums leave generated code for a vectorised partial sum per task.
 MAX_SQL_WIDTH = 20
@@ -146,6 +147,8 @@ def fold_sums(df: DataFrame, features: list[str], label: str, bucket: str = "buc
     out = FoldSums(features, *_centre(df, features, label), k)
     binned = df.withColumn("_bin", label_bin(F.col(label), n_edges))
     sums = cross_sums(binned, [bucket, "_bin"], _scaled(features, label, out.shift, out.scale, out.label_shift))
+    # Used more than once below: computed now, or each use would scan the data.
+    sums = settled(sums, k * (n_edges - 1) * packed_size(out.width))
     roled = sums.withColumn("_pair", F.explode(roles_of_bucket(F.col(bucket), k, roles))).select(
         F.col("_pair.fold").alias("fold"), F.col("_pair.role").alias("role"), "_bin", "pos", "v"
     )
@@ -158,7 +161,8 @@ def split_sums(df: DataFrame, features: list[str], label: str, k: int = 5, fold:
     out = FoldSums(features, *_centre(df, features, label), k)
     binned = df.withColumns({"fold": F.col(fold), "role": F.col(role), "_bin": label_bin(F.col(label), n_edges)})
     z = _scaled(features, label, out.shift, out.scale, out.label_shift)
-    return _filled(out, cross_sums(binned, ["fold", "role", "_bin"], z))
+    sums = cross_sums(binned, ["fold", "role", "_bin"], z)
+    return _filled(out, settled(sums, k * 4 * (n_edges - 1) * packed_size(out.width)))
 
 
 def _filled(out: FoldSums, sums: DataFrame) -> FoldSums:

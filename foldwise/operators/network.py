@@ -124,8 +124,10 @@ def lr_plateau(history: DataFrame, by: list[str], initial: float = 0.001, epoch:
 def network_report(moments: DataFrame, fold: str, config: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all results, winner per fold with pooled metrics, all results joined to the winners).
 
-    ``moments`` are bin moments of the test predictions per (fold, configuration).
+    ``moments`` are bin moments of the test predictions per (fold, configuration). They
+    are kept (a hundred rows per configuration), so the predictions are read once.
     """
+    moments = cut_lineage(moments)
     results = metrics(moments, [fold, *config])
     best = best_per_fold(results, [fold], "weighted_r2", config)
     won = moments.join(best.select(fold, *config), [fold, *config], "left_semi")

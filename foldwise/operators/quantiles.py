@@ -82,12 +82,10 @@ def _quantiles(df: DataFrame, row_by: list[str], by: list[str], cols: list[str],
             F.sum("n").alias("n")
         ).withColumn("upto", F.sum("n").over(upto))
         at = F.col("rank") - F.col("base")
-        found = (
-            open_.withColumnRenamed("id", "parent").drop("lo", "hi")
-            .join(summed, [*by, "c", "parent"])
-            .filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("n")))
-            .join(ranges, ["c", "id"])
-            .select(*by, "c", "prob", "pos", "rank", "id", "lo", "hi", (F.col("base") + F.col("upto") - F.col("n")).alias("base"))
+        ranked = join_small(summed, open_.withColumnRenamed("id", "parent").drop("lo", "hi"), [*by, "c", "parent"], "inner", max_cells)
+        held = ranked.filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("n")))
+        found = join_small(ranges, held, ["c", "id"], "inner", max_cells).select(
+            *by, "c", "prob", "pos", "rank", "id", "lo", "hi", (F.col("base") + F.col("upto") - F.col("n")).alias("base")
         )
         state = settled(state.filter("lo >= hi").unionByName(found), max_cells)
         inside = inside.drop("parent")

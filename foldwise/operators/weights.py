@@ -33,8 +33,11 @@ def row_weights(df: DataFrame, label: str, by: list[str], n_edges: int = K.N_EDG
 
     ``groups`` is the number of groups in ``by`` where it is known; it bounds the weight table.
     """
-    weights = bin_weights(bin_counts(df, label, by, n_edges), by)
-    binned = df.withColumn("bin", label_bin(F.col(label), n_edges))
+    # Both uses of the rows ask for the same filter, so a shuffle below them (a dedup) runs once.
+    binned = df.withColumn("bin", label_bin(F.col(label), n_edges)).filter(F.col("bin").isNotNull())
+    for c in by:
+        binned = binned.filter(F.col(c).isNotNull())
+    weights = bin_weights(binned.groupBy(*by, "bin").agg(F.count("*").alias("count")), by)
     return join_small(binned, weights, [*by, "bin"], "inner", _bound(groups, n_edges)).withColumn(
         "bin_range", bin_text(F.col("bin"), n_edges)
     )
