@@ -24,12 +24,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "fold
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none (tests).
+    A folder of our own is made only where the session names none and runs on one machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldwise-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="foldwise-")
     context.setCheckpointDir(folder)
     return folder
 

@@ -63,3 +63,16 @@ def test_broadcast_needs_a_bound(spark, sf_dir):
         assert "BroadcastHashJoin" not in plan(row_weights(df, "y", ["bucket"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_dedup_below_the_weights_runs_once(spark, sf_dir):
+    df = QUERIES["training_weights"](spark, sf_dir)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    # The order lines and the parts, each read once.
+    assert final.count("FileScan") == 2 and "ReusedExchange" in final
+
+
+def test_global_metrics_read_the_rows_once(spark):
+    df = spark.range(100).select(F.lit("m").alias("model"), (F.col("id") / 100).alias("y"), F.lit(0.5).alias("p"))
+    assert plan(metrics.global_metrics(df, ["model"], "y", "p")).count("Range (") == 1
