@@ -187,6 +187,48 @@ def refit_winners(spark: SparkSession, d: str) -> DataFrame:
     return search.refit_winners(stats, grid, sums).drop("coefs")
 
 
+_SEARCH = f"""{PTS}, {ROLES}, {EDGES}, {MOMENTS},
+tv AS (SELECT fold, var_pop(x1) AS v, covar_pop(y, x1) AS c, avg(x1) AS mx, avg(y) AS my FROM pts JOIN roles USING (bucket) WHERE role = 'train_val' GROUP BY fold),
+a AS (SELECT CAST(row_number() OVER (ORDER BY alpha) - 1 AS INT) AS ai, alpha FROM (SELECT DISTINCT round(l_discount * 100) / 100 + 0e0 AS alpha FROM lineitem)
+  UNION ALL SELECT -1, 1e-4),
+fits AS (SELECT fold, model, ai, CASE model WHEN 'ridge' THEN c / (v + alpha) ELSE sign(c) * greatest(abs(c) - alpha, 0) / v END AS b
+  FROM mom, a, (VALUES ('lasso'), ('ridge')) t(model)),
+scored AS (SELECT f.model, f.ai, r.fold, y, my + b * (x1 - mx) AS p FROM pts JOIN roles r USING (bucket) JOIN fits f ON f.fold = r.fold
+  JOIN mom m ON m.fold = r.fold WHERE r.role = 'val'), {binned("scored", "bb")}, {metrics_sql("bb", "model, ai, fold")},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY weighted_r2 DESC, weighted_mse, ai) AS rn FROM m),
+best AS (SELECT model, fold, ai, model || '_hp_' || (ai + 1) AS param_key FROM ranked WHERE rn = 1)"""
+
+
+def _search_one(spark: SparkSession, d: str):
+    """Lasso and ridge grids with the table's discounts as penalties, on one feature."""
+    sums = fold_sums(points(spark, d), ["x1"], "y", "bucket", FOLDS)
+    grid = linear_grid(shared_spaces(spark, d).filter("model IN ('lasso', 'ridge')"))
+    return sums, grid, search.linear_grid_search(None, ["x1"], "y", grid, "IdentityScaler", k=FOLDS, sums=sums)
+
+
+@query("best_params_one_feature", f"""
+WITH {_SEARCH} SELECT model, fold, param_key, CASE WHEN ai < 0 THEN 'single best answer by r2/mse' ELSE '2+ best params, without default' END AS reason,
+  CAST(CASE WHEN ai < 0 THEN 1 ELSE 54 END AS BIGINT) AS tie_count FROM best""")
+def _best_one(spark: SparkSession, d: str) -> DataFrame:
+    # The 54 step sizes, batches and schedules of a penalty share its fit, hence the ties.
+    _, _, stats = _search_one(spark, d)
+    return best_params(stats, ["model", "fold"], "param")
+
+
+@query("refit_one_feature", f"""
+WITH {_SEARCH}, again AS (SELECT best.model, best.fold, param_key, CASE best.model WHEN 'ridge' THEN c / (v + alpha) ELSE sign(c) * greatest(abs(c) - alpha, 0) / v END AS b, mx, my
+  FROM best JOIN a USING (ai) JOIN tv ON tv.fold = best.fold),
+tested AS (SELECT g.model, g.fold, y, my + b * (x1 - mx) AS p FROM pts JOIN roles r USING (bucket) JOIN again g ON g.fold = r.fold WHERE r.role = 'test'),
+{binned("tested", "tb")}, {metrics_sql("tb", "model, fold", "t_")}
+SELECT t.model, t.fold, param_key AS param, round(t.weighted_mse, 7) AS weighted_test_mse, round(t.weighted_r2, 7) AS weighted_test_r2, round(t.mse, 7) AS test_mse,
+  round(t.r2, 7) AS test_r2, round(b, 9) AS slope FROM t_m t JOIN again g ON g.model = t.model AND g.fold = t.fold""")
+def _refit_one(spark: SparkSession, d: str) -> DataFrame:
+    sums, grid, stats = _search_one(spark, d)
+    out = search.refit_winners(stats, grid, sums, "IdentityScaler")
+    cols = ["weighted_test_mse", "weighted_test_r2", "test_mse", "test_r2"]
+    return out.select("model", "fold", "param", *[F.round(c, 7).alias(c) for c in cols], F.round(F.col("coefs")[0], 9).alias("slope"))
+
+
 @query("alpha_ranking")
 def _alpha_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank_alphas(search.alpha_sweep(points(spark, d), LINE_FEATURES, "y", ["lasso", "ridge", "elasticnet"], k=FOLDS), ["model"], top=22)
