@@ -129,26 +129,61 @@ def _hub_pairs(threshold: float):
 
 
 def _block_pairs(threshold: float):
-    """Strays of one block against the members of another; a pair counts in the first band it shares."""
+    """Strays of one block against the members of another; a pair counts in the first band it shares.
+
+    One row per member that is still in question, with the candidates of each stray as a list.
+    """
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         side = np.array(rows.column("side").to_pylist())
         sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(rows.num_rows, -1)
         prints, roots = np.array(rows.column("print").to_pylist(), object), np.array(rows.column("root").to_pylist(), object)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = np.flatnonzero(side == 1)
         band = key[0].as_py()
-        out_a, out_b = [], []
-        for i in left:
+        partners: dict[bytes, set[bytes]] = {}
+        root_of: dict[bytes, bytes] = {}
+        for i in np.flatnonzero(side == 0):
             js = right[roots[right] != roots[i]]
             js = js[survivors(np.broadcast_to(sign[i], (len(js), sign.shape[1])), sign[js], threshold)]
             if band and len(js):
-                earlier = (sign[js, : band * ROWS] == sign[i, : band * ROWS]).reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
-                js = js[~earlier]
-            out_a += [prints[i]] * len(js)
-            out_b += list(prints[js])
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                js = js[~(sign[js, : band * ROWS] == sign[i, : band * ROWS]).reshape(len(js), band, ROWS).all(axis=2).any(axis=1)]
+            for j in js:
+                root_of[prints[i]], root_of[prints[j]] = roots[i], roots[j]
+                # Two strays meet twice in a block; one meeting is enough.
+                if prints[i] not in partners.get(prints[j], ()):
+                    partners.setdefault(prints[i], set()).add(prints[j])
+        names = list(root_of)
+        columns = {k: pa.array([v.as_py()] * len(names), t) for (k, t), v in zip(_BLOCK_KEY, key)}
+        return pa.table(columns | {
+            "print": pa.array(names, pa.binary()), "root": pa.array([root_of[p] for p in names], pa.binary()),
+            "partners": pa.array([list(partners.get(p, ())) for p in names], pa.list_(pa.binary()))})
     return judge
 
 
+_BLOCK_KEY = (("band", pa.int32()), ("bucket", pa.int64()), ("x", pa.int32()), ("y", pa.int32()))
+
+
+def _similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return denominator * both >= numerator * (len(x) + len(y) - both)
+
+
+def _block_links(numerator: int, denominator: int):
+    """Links of one block, confirmed on the full sets; one link of a stray to each other component joins the two."""
+    def confirm(rows: pa.Table) -> pa.Table:
+        prints = rows.column("print").to_pylist()
+        root_of = dict(zip(prints, rows.column("root").to_pylist()))
+        sets = {p: np.frombuffer(s, np.uint64) for p, s in zip(prints, rows.column("shingles").to_pylist())}
+        out = []
+        for p, partners in zip(prints, rows.column("partners").to_pylist()):
+            joined = set()
+            for q in partners:
+                if root_of[q] not in joined and _similar(sets[p], sets[q], numerator, denominator):
+                    joined.add(root_of[q])
+                    out.append((p, q))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+    return confirm
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full set of each text that has the fingerprint it was fetched for; another text under the same id is left out."""
     hashes = WordHashes()
@@ -167,23 +202,24 @@ def _confirmed(numerator: int, denominator: int):
         for batch in batches:
             good = []
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if denominator * both >= numerator * (len(x) + len(y) - both):
+                if _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), numerator, denominator):
                     good.append(i)
             chosen = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(chosen), batch.column("b").take(chosen)], names=["a", "b"])
     return confirm
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of fingerprints whose full sets are similar enough; the sets are made again, for the fingerprints involved only."""
-    pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    involved = pairs.select(F.col("a").alias("print")).union(pairs.select(F.col("b").alias("print"))).distinct()
+def _sets(involved: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(print, shingles): the full sets made again, for the distinct fingerprints in ``involved`` only."""
     chosen = classes.select("print", F.col("doc_id").alias("_id")).join(involved, "print", "left_semi")
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("print", "text")
-    sets = texts.mapInArrow(_full_sets, "print binary, shingles binary").groupBy("print").agg(F.first("shingles").alias("shingles"))
-    sets = kept(sets)
+    return kept(texts.mapInArrow(_full_sets, "print binary, shingles binary").groupBy("print").agg(F.first("shingles").alias("shingles")))
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of fingerprints whose full sets are similar enough."""
+    pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("print")), docs, classes)
     joined = pairs.join(sets.select(F.col("print").alias("a"), F.col("shingles").alias("set_a")), "a")
     joined = joined.join(sets.select(F.col("print").alias("b"), F.col("shingles").alias("set_b")), "b")
     return kept(joined.mapInArrow(_confirmed(*threshold), "a binary, b binary"))
@@ -222,8 +258,11 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str
     left = rooted.filter("stray").withColumns({"side": F.lit(0), "x": (own % block("strays")).cast("int"), "y": F.explode(F.sequence(F.lit(0), block("n") - 1))})
     right = rooted.withColumns({"side": F.lit(1), "y": (own % block("n")).cast("int"), "x": F.explode(F.sequence(F.lit(0), block("strays") - 1))})
     sides = left.unionByName(right).select("band", "bucket", "x", "y", "side", "print", "root").join(signs, "print")
-    more = sides.groupBy("band", "bucket", "x", "y").applyInArrow(_block_pairs(rate), "a binary, b binary")
-    more = _confirm(more, docs, classes, threshold)
+    key = ["band", "bucket", "x", "y"]
+    open_rows = kept(sides.groupBy(*key).applyInArrow(
+        _block_pairs(rate), "band int, bucket long, x int, y int, print binary, root binary, partners array<binary>"))
+    open_rows = open_rows.join(_sets(open_rows, docs, classes), "print")
+    more = kept(open_rows.groupBy(*key).applyInArrow(_block_links(*threshold), "a binary, b binary"))
     if not more.isEmpty():
         roots = components(links.union(more))
 
@@ -236,7 +275,8 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str
 
 
 SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
