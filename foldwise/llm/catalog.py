@@ -1,6 +1,6 @@
 """Importing this module fills the registers with the corpus queries."""
 
-from foldwise.llm import decontamination, mixing, near_duplicates, secrets  # noqa: F401
+from foldwise.llm import decontamination, html_text, mixing, near_duplicates, quality, secrets, toxicity  # noqa: F401
 from foldwise.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
