@@ -1,6 +1,8 @@
 """Importing this module fills the registers with the corpus queries."""
 
-from foldwise.llm import decontamination, html_text, mixing, near_duplicates, quality, secrets, toxicity  # noqa: F401
+from foldwise.llm import (  # noqa: F401
+    decontamination, embedding_duplicates, html_text, mixing, near_duplicates, quality, repeated_passages, secrets, toxicity,
+)
 from foldwise.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segments.
 
-1. Over all labelled training texts, the documents that hold a word are counted per label. A word's score is its log-odds ratio
-   between toxic and clean documents under a Dirichlet prior proportional to the pooled counts; words whose z-score reaches
-   ``Z`` form the lexicon (at most ``LEXICON`` words, the ones of highest z: the model's size). All other words score ``DRIFT``.
+1. Over all labelled training texts, the documents that hold a word, or a word beginning (``STEM`` bytes, so that inflected and
+   compound forms count together), are counted per label. A score is the log-odds ratio between toxic and clean
+   documents under a Dirichlet prior proportional to the pooled counts; entries that reach ``Z`` standard errors and ``LEAST`` form the
+   lexicon (at most ``LEXICON`` entries, those of highest z: the model's size). A word scores the higher of its two
+   entries, any other word ``DRIFT``.
 2. Every whole text is scanned once: the disjoint maximal-scoring segments are found in linear time.
 3. Segment scores become comparable across lengths by extreme-value (Karlin-Altschul) normalisation: lambda solves the
    moment equation of the clean word frequencies, and a segment of score S in n words has significance lambda * S - ln(K * n).
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from foldwise.llm.common import kept, remainder, table
 from foldwise.llm.registry import query
 
-PRIOR = 50.0
-Z = 4.0
+PRIOR = 200.0
+Z = 3.0
+LEAST = 3.0
+STEM = 5
 LEXICON = 20_000
 DRIFT = -0.2
 K = 0.1
@@ -45,13 +49,18 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split() if text else []
 
 
+def entries(words: set[bytes]) -> set[bytes]:
+    """The words and the beginnings of the longer ones; the star keeps the two apart."""
+    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held = (Counter(), Counter())
         seen = [[0, 0], [0, 0]]
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             found = tokens(text)
-            held[label].update(set(found))
+            held[label].update(entries(set(found)))
             seen[label][0] += 1
             seen[label][1] += len(found)
         names = list(held[0] | held[1])
@@ -83,7 +92,7 @@ def learn(train: DataFrame) -> dict:
     delta = F.log(one / (n1 + PRIOR - one)) - F.log(zero / (n0 + PRIOR - zero))
     ranked = counts.filter(F.length("word") > 1).filter((one < n1 + PRIOR) & (zero < n0 + PRIOR)).select(
         "word", "clean", delta.alias("score"), (delta / F.sqrt(1 / one + 1 / zero)).alias("z"))
-    chosen = ranked.filter(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    chosen = ranked.filter((F.col("z") >= Z) & (F.col("score") >= LEAST)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
     lexicon = {bytes(r["word"]): r["score"] for r in chosen}
     scores = np.array([r["score"] for r in chosen] + [DRIFT])
     share = np.array([(r["clean"] + 0.5) / (words0 + 1) for r in chosen] + [0.0])
@@ -131,9 +140,10 @@ def _scan(model: dict):
             best, share, passages = [], [], []
             for text in batch.column("text").to_pylist():
                 found = tokens(text)
-                places = [i for i, w in enumerate(found) if w in lexicon]
+                value = {w: max(lexicon.get(w, 0.0), lexicon.get(w[:STEM] + b"*", 0.0)) for w in set(found)}
+                places = [i for i, w in enumerate(found) if value[w] > 0]
                 offset = math.log(K * max(len(found), 1 / K))
-                strong = [(rate * s - offset, a, b) for s, a, b in segments(places, [lexicon[found[i]] for i in places])]
+                strong = [(rate * s - offset, a, b) for s, a, b in segments(places, [value[found[i]] for i in places])]
                 strong = [x for x in strong if x[0] > 0]
                 best.append(min(CEILING, max((x[0] for x in strong), default=0.0)))
                 share.append(sum(b - a for _, a, b in strong) / max(1, len(found)))
