@@ -109,7 +109,10 @@ class Model:
     vocabulary: int
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}").drop("part")
+        """A stored table; an empty one has no file to take the schema from, so it is stated."""
+        k = name.removeprefix("grams").removeprefix("contexts")
+        schema = {"words": "word long, n long", f"grams{k}": f"c{k} long, word long, p double", f"contexts{k}": f"c{k} long, total double, alpha double"}[name]
+        return spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     @property
     def floor(self) -> float:
@@ -130,7 +133,7 @@ def discounts(numbers: dict[int, int]) -> list[float]:
 def _written(df: DataFrame, path: str, name: str, key: list[str]) -> DataFrame:
     part = F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int")
     df.withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{path}/{name}")
-    return df.sparkSession.read.parquet(f"{path}/{name}").drop("part")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
 def train(docs: DataFrame, order: int = ORDER, path: str | None = None) -> Model:
