@@ -40,8 +40,14 @@ def unpack(values: list[float], width: int) -> np.ndarray:
 
 
 def cross_sums(df: DataFrame, by: list[str], z: list[Column], weight: Column | None = None) -> DataFrame:
-    """(by, pos, v): sums of ``weight * z_i * z_j``, ``pos`` counting the upper triangle row by row."""
+    """(by, pos, v): sums of ``weight * z_i * z_j``, ``pos`` counting the upper triangle row by row.
+
+    One rule for missing values whatever the width: a row with a null or NaN in any ``z`` or in the weight is left out whole,
+    so its count, sums and products agree. Fill values beforehand to keep such rows.
+    """
     width = len(z)
+    for c in [*z, *([weight] if weight is not None else [])]:
+        df = df.filter(c.isNotNull() & ~F.isnan(c.cast("double")))
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     if width <= MAX_SQL_WIDTH:
         named = df.select(*by, *[c.alias(f"_z{i}") for i, c in enumerate(z)],
@@ -125,11 +131,12 @@ class FoldSums:
 
 
 def _centre(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, float]:
-    cols = [F.col(c).cast("double") for c in features]
+    nothing = F.lit(None).cast("double")
+    cols = [F.nanvl(F.col(c).cast("double"), nothing) for c in features]
     row = df.agg(
         F.array(*[F.avg(c) for c in cols]).alias("m"),
         F.array(*[F.stddev_pop(c) for c in cols]).alias("s"),
-        F.avg(F.col(label).cast("double")).alias("y"),
+        F.avg(F.nanvl(F.col(label).cast("double"), nothing)).alias("y"),
     ).first()
     s = np.asarray(row["s"], dtype=float)
     return np.asarray(row["m"], dtype=float), np.where(s > 0, s, 1.0), float(row["y"])

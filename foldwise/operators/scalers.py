@@ -107,12 +107,13 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 
 
 def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None = None,
-              span: float = 5.0, points: int = 11, rounds: int = 4) -> DataFrame:
+              span: float = 5.0, points: int = 11, tolerance: float = 0.01, rounds: int = 60) -> DataFrame:
     """Lambda of largest likelihood per column, then mean and deviation of the transformed values.
 
-    One round scores a batch of lambdas per column in one scan; the next round
-    looks between the neighbours of the best one, around the top of the parabola
-    through the three of them.
+    One round scores a batch of lambdas per column in one scan. A best lambda at the end of its
+    bracket moves and widens the bracket; one inside it narrows the bracket to its
+    neighbours, around the top of the parabola through the three of them, until it is known
+    to ``tolerance``. A likelihood without a top within ``rounds`` is an error, not a result.
     """
     keys = ["_one", *by]
     rows = df.select(single_key().alias("_one"), *by, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
@@ -140,7 +141,8 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
 
     for _ in range(rounds):
         like = F.when(
-            F.col("var") > 0, -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("jac")
+            # A variance that overflowed is no candidate; NaN counts as above infinity.
+            (F.col("var") > 0) & (F.col("var") < float("inf")), -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("jac")
         ).otherwise(F.lit(float("-inf")))
         w = Window.partitionBy(*keys, "c").orderBy("lam")
         tried = scored(state).withColumn("_l", like).withColumns(
@@ -150,9 +152,16 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
         # A missing or infinite neighbour, or a flat top, keeps the grid point.
         move = F.col("_h") / 2 * (F.col("_a") - F.col("_z")) / F.when(bend < 0, bend)
         move = F.when(F.abs(move) <= F.col("_h"), move).otherwise(0.0)
-        best = tried.groupBy(*keys, "c").agg(F.max_by(F.col("lam") + move, "_l").alias("mid"))
-        half = state.select(*keys, "c", (F.col("half") * 2.0 / (points - 1)).alias("half"))
-        state = settled(best.join(half, [*keys, "c"]), bound)
+        end = (F.col("_a").isNull() | F.col("_z").isNull()) & (F.col("_l") > float("-inf"))
+        best = tried.groupBy(*keys, "c").agg(F.max_by(F.struct((F.col("lam") + move).alias("mid"), end.alias("end")), "_l").alias("_m"))
+        half = F.when(F.col("_m.end"), F.col("half") * 2.0).otherwise(F.col("half") * 2.0 / (points - 1))
+        found = best.join(state.select(*keys, "c", "half"), [*keys, "c"])
+        state = settled(found.select(*keys, "c", F.col("_m.mid").alias("mid"), half.alias("half")), bound)
+        widest = state.agg(F.max("half")).first()[0]
+        if widest is None or widest <= tolerance:
+            break
+    else:
+        raise ValueError(f"no lambda of largest likelihood after {rounds} rounds")
     # The last batch holds its middle point, whose moments standardise the output.
     final = scored(state.withColumn("half", F.lit(0.0)))
     names = F.array(*[F.lit(c) for c in cols])

@@ -15,8 +15,9 @@ def _bound(groups: int | None, n_edges: int) -> int | None:
 
 
 def bin_counts(df: DataFrame, label: str, by: list[str], n_edges: int = K.N_EDGES) -> DataFrame:
-    """Rows per label bin."""
-    return df.groupBy(*by, label_bin(F.col(label), n_edges).alias("bin")).agg(F.count("*").alias("count"))
+    """Rows per label bin; rows without a label are in no bin and have no share of the weights."""
+    counts = df.groupBy(*by, label_bin(F.col(label), n_edges).alias("bin")).agg(F.count("*").alias("count"))
+    return counts.filter(F.col("bin").isNotNull())
 
 
 def bin_weights(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def bin_weights(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def row_weights(df: DataFrame, label: str, by: list[str], n_edges: int = K.N_EDGES,
                 groups: int | None = None) -> DataFrame:
-    """Every row with the count, inverse count and weight of its label bin.
+    """Every row that has a label and a group, with the count, inverse count and weight of its label bin.
 
     ``groups`` is the number of groups in ``by`` where it is known; it bounds the weight table.
     """

@@ -152,3 +152,16 @@ def test_failing_scaler_leaves_nan_rows(spark):
     bad = [r for r in rows if r["scaler"] == "LogScaler"]
     assert len(bad) == 5 and all(math.isnan(r["validation_mse"]) for r in bad)
     assert all(r["validation_mse"] < 1e-6 for r in rows if r["scaler"] == "StandardScaler")
+
+
+def test_power_lambda_beyond_the_first_bracket(spark):
+    """Strongly left-skewed values: the best lambda lies far outside the starting bracket and beats its neighbours."""
+    x = np.linspace(0.9, 1.0, 400) ** 0.05
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    lam = fit_power(df, [], ["x"]).first()["params"]["x"][0]
+
+    def likelihood(k):
+        z = ((x + 1) ** k - 1) / k
+        return -len(x) / 2 * np.log(z.var()) + (k - 1) * np.log1p(x).sum()
+
+    assert lam > 6.3 and likelihood(lam) >= max(likelihood(lam - 0.5), likelihood(lam + 0.5))
