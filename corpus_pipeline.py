@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import decontamination, mixing, near_duplicates, secrets, toxicity
-from foldwise.llm.common import kept, table
+from foldwise.llm.common import kept, measured, table
 
 # Toxicity and copies are not SQL; the tests hold the pipeline against its stages run one by one by brute force.
 ORACLE_SQL = None
@@ -22,14 +22,14 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go."""
     scored = toxicity.score(docs, toxicity.toxic_labels(table(spark, sf_dir, "labels")))
-    toxic = scored.filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+    toxic = measured(scored.filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct())
     return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group stays; documents without words are no group."""
     found = near_duplicates.cluster(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    gone = measured(found.filter(~F.col("kept")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

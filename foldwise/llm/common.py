@@ -22,6 +22,16 @@ def kept(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+# Rows of a small side that go to every executor at most; at some tens of bytes a row this stays below 100 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """The table written out and counted; hinted for broadcast only if its rows stay below the bound, else joined by shuffle."""
+    df = kept(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus

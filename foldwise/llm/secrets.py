@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import kept, table
+from foldwise.llm.common import kept, measured, table
 from foldwise.llm.registry import query
 
 
@@ -115,7 +115,7 @@ def redact(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFra
 
     Findings are joined by blob, one row each, so ids may repeat or be null.
     """
-    by_blob = found.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans")).withColumnRenamed("blob", "_blob")
+    by_blob = measured(found.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans")).withColumnRenamed("blob", "_blob"))
     joined = docs.withColumn("_address", blob_address(F.col("text"))).join(by_blob, F.col("_address") == F.col("_blob"), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
