@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ from foldwise.session import checkpoint_dir
 ORDER = 2
 TURING = 5
 # Characters of text in a block and tokens in a range of hashes; both bound the memory of a task and change no result.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 12 << 20
 RANGE_TOKENS = 4 << 20
 # Tokens that no word can be: words hold no space.
 END, START = b" ", b"  "
@@ -135,7 +135,7 @@ class Block:
         self.lengths = unpacked(row["lengths"]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         tokens = unpacked_keys(row["vocabulary"])[unpacked(row["codes"])]
-        place = np.arange(len(tokens)) - np.repeat(self.starts, self.lengths)
+        place = (np.arange(len(tokens)) - np.repeat(self.starts, self.lengths)).astype(np.int32)
         start = np.uint64(WordHashes()[START])
         self.keys, self.inverse, self.counts = [None], [None], [None]
         self.context, self.context_at = [None, None], [None, None]
@@ -148,17 +148,18 @@ class Block:
                 back[k - 1 :] = tokens[: max(0, len(tokens) - k + 1)]
                 back[place < k - 1] = start
                 history = mixed(history * _STEP + back)
+                del back
             grams = tokens if k == 1 else mixed(history * _STEP + tokens)
             keys, first, inverse, counts = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
             self.keys.append(keys)
-            self.first.append(first)
-            self.inverse.append(inverse)
+            self.first.append(first.astype(np.int32))
+            self.inverse.append(inverse.astype(np.int32))
             self.counts.append(counts)
             if k > 1:
                 # Contexts belong to distinct n-grams: context_at leads from an n-gram to its context.
                 found, at = np.unique(history[first], return_inverse=True)
                 self.context.append(found)
-                self.context_at.append(at)
+                self.context_at.append(at.astype(np.int32))
 
     def below(self, k: int, values: np.ndarray) -> np.ndarray:
         """Values of the next lower order's n-grams, for each n-gram of order ``k``."""
@@ -173,22 +174,23 @@ def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(tops[lo]), int(lo), int(hi)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[Block]:
+def _each(batches: Iterator[pa.RecordBatch], work: Callable[[dict], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``work`` on one block after the other; nothing of a block stays while the next is read."""
     for batch in batches:
         for at in range(batch.num_rows):
-            yield Block(batch.slice(at, 1).to_pylist()[0], order)
+            yield from work(batch.slice(at, 1).to_pylist()[0])
 
 
 def _ask(order: int, bits: int):
     schema = _arrow(COUNTS)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, order):
-            for k in range(1, order + 1):
-                counts = block.counts[k] if block.row["trains"] else np.zeros(len(block.keys[k]), np.int64)
-                yield _rows([("asked", k, r, block.row["block"], packed_keys(block.keys[k][lo:hi]), packed(counts[lo:hi]), None, None, None, None)
-                             for r, lo, hi in _ranges(block.keys[k], bits)], schema)
-    return ask
+    def ask(row: dict) -> Iterator[pa.RecordBatch]:
+        block = Block(row, order)
+        for k in range(1, order + 1):
+            counts = block.counts[k] if row["trains"] else np.zeros(len(block.keys[k]), np.int64)
+            yield _rows([("asked", k, r, row["block"], packed_keys(block.keys[k][lo:hi]), packed(counts[lo:hi]), None, None, None, None)
+                         for r, lo, hi in _ranges(block.keys[k], bits)], schema)
+    return lambda batches: _each(batches, ask)
 
 
 def _together(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,16 +313,16 @@ class Evaluated:
 def _sum(model: Model, k: int):
     schema = _arrow(CONTEXTS)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, model.order):
-            x = Evaluated(block, model)
-            mine = x.own[k] & block.row["trains"]
-            at, many = block.context_at[k], len(block.context[k])
-            low = block.below(k, x.seen(k - 1))
-            found = [np.bincount(at, np.where(mine, v, 0.0), many) for v in (x.n[k], x.held(k), low)]
-            yield _rows([("asked", r, block.row["block"], packed_keys(block.context[k][lo:hi]), *[packed_reals(v[lo:hi]) for v in found])
-                         for r, lo, hi in _ranges(block.context[k], model.bits)], schema)
-    return sums
+    def sums(row: dict) -> Iterator[pa.RecordBatch]:
+        block = Block(row, model.order)
+        x = Evaluated(block, model)
+        mine = x.own[k] & row["trains"]
+        at, many = block.context_at[k], len(block.context[k])
+        low = block.below(k, x.seen(k - 1))
+        found = [np.bincount(at, np.where(mine, v, 0.0), many) for v in (x.n[k], x.held(k), low)]
+        yield _rows([("asked", r, row["block"], packed_keys(block.context[k][lo:hi]), *[packed_reals(v[lo:hi]) for v in found])
+                     for r, lo, hi in _ranges(block.context[k], model.bits)], schema)
+    return lambda batches: _each(batches, sums)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -329,14 +331,14 @@ SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 def _score(model: Model):
     schema = _arrow(SCORES)
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, model.order):
-            x = Evaluated(block, model)
-            one = block.inverse[1]
-            per_token = [(x.n[1] > 0).astype(np.int64)[one], np.log10(x.ones())[one], x.log_p()[block.inverse[model.order]]]
-            known, base, score = (np.add.reduceat(v, block.starts) for v in per_token)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([block.row["ids"], block.lengths, known, base, score], schema.types)], schema=schema)
-    return scores
+    def scores(row: dict) -> Iterator[pa.RecordBatch]:
+        block = Block(row, model.order)
+        x = Evaluated(block, model)
+        one, top = block.inverse[1], block.inverse[model.order]
+        per_gram = [((x.n[1] > 0).astype(np.int64), one), (np.log10(x.ones()), one), (x.log_p(), top)]
+        known, base, score = (np.add.reduceat(v[at], block.starts) for v, at in per_gram)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([row["ids"], block.lengths, known, base, score], schema.types)], schema=schema)
+    return lambda batches: _each(batches, scores)
 
 
 def _answered(blocks: DataFrame, answers: DataFrame, name: str, fields: list[str]) -> DataFrame:
