@@ -40,7 +40,7 @@ from foldwise.session import checkpoint_dir
 ORDER = 2
 TURING = 5
 # Characters of text in a block and tokens in a range of hashes; both bound the memory of a task and change no result.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 8 << 20
 RANGE_TOKENS = 4 << 20
 # Tokens that no word can be: words hold no space.
 END, START = b" ", b"  "
@@ -122,9 +122,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, text, trains), written once, so that a block's number and content stay what they are, and dealt by block for the joins."""
-    blocks = docs.select("doc_id", "text", "trains").mapInArrow(_encode, BLOCKS)
-    return kept(blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"))
+    """Blocks of ``docs`` (doc_id, text, trains), written once, so that a block's number and content stay what they are."""
+    return kept(docs.select("doc_id", "text", "trains").mapInArrow(_encode, BLOCKS))
 
 
 class Block:
@@ -154,7 +153,7 @@ class Block:
             self.keys.append(keys)
             self.first.append(first.astype(np.int32))
             self.inverse.append(inverse.astype(np.int32))
-            self.counts.append(counts)
+            self.counts.append(counts.astype(np.int32))
             if k > 1:
                 # Contexts belong to distinct n-grams: context_at leads from an n-gram to its context.
                 found, at = np.unique(history[first], return_inverse=True)
