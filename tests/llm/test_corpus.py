@@ -220,6 +220,22 @@ def test_katz(spark, docs, empty):
     assert by_id(katz.score(docs, bare))[2].score == 0.0 and katz.score(empty, model).count() == 0
 
 
+def test_katz_packing():
+    """Packed numbers come back as they went in; texts are cut into runs that leave none out."""
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    for k in (keys, keys[:1], keys[:0], keys[::-1]):
+        assert (katz.unpacked_keys(katz.packed_keys(k)) == k).all()
+    for n in ([], [0], [0, 255, 256], [70_000, 1, 5_000_000_000]):
+        assert katz.unpacked(katz.packed(np.array(n, np.int64))).tolist() == n
+    assert katz.unpacked_reals(katz.packed_reals(np.array([0.0, 0.25, 1e-9]))).tolist() == [0.0, 0.25, 1e-9]
+    ranges = list(katz._ranges(keys, 4))
+    assert [r[0] for r in ranges] == list(range(16)) and ranges[0][1] == 0 and ranges[-1][2] == len(keys)
+    assert not list(katz._ranges(keys[:0], 4))
+    big = katz.BLOCK_CHARS
+    assert list(katz._cuts([0, 1, big, 2, big + 1, 3, 0])) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 7)]
+    assert not list(katz._cuts([]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu one</a></li></ul></nav>
 <div class="ad">Buy this fine thing now, it is good.</div><div class="cookie-notice">We use cookies, as you know.</div><article><h1>Head &amp; line</h1><p><b>First
  paragraph, with some words in it, and more.<br><p>Second paragraph; it is longer than the first, and has <a href="x">a link</a>.</p><aside>Side remark, short.</aside></article>
