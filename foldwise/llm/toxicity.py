@@ -2,17 +2,18 @@
 
 1. Over all labelled training texts, the documents that hold a word, or a word beginning (``STEM`` bytes, so that inflected and
    compound forms count together), are counted per label. A score is the log-odds ratio between toxic and clean
-   documents under a Dirichlet prior proportional to the pooled counts; entries that reach ``Z`` standard errors and ``LEAST`` form the
-   lexicon (at most ``LEXICON`` entries, those of highest z: the model's size). A word scores the higher of its two
-   entries, any other word ``DRIFT``.
+   documents under a Dirichlet prior proportional to the pooled counts, ``PRIOR`` pseudo-documents per labelled one, so that the
+   prior weighs the same at every number of labels; all entries that reach ``Z`` standard errors on either side form the
+   lexicon. A word scores the higher of its two entries' signed log-odds, any other word ``DRIFT``.
 2. Every whole text is scanned once: the disjoint maximal-scoring segments are found in linear time.
 3. Segment scores become comparable across lengths by extreme-value (Karlin-Altschul) normalisation: lambda solves the
-   moment equation of the clean word frequencies, and a segment of score S in n words has significance lambda * S - ln(K * n).
+   moment equation of the scores of all words of the clean training texts, and a segment of score S in n words has significance lambda * S - ln(K * n).
 4. The best significance and the share of words in significant segments are mapped to a probability by a logistic
    curve fitted to counts over all training texts.
 
 Defined results: null, empty or wordless texts have no segment and get the curve's value at zero; repeated rows each keep
-their row; without labels of both kinds the lexicon is empty and the score is the smoothed share of toxic labels; conflicting labels of an id
+their row; without labels of both kinds, or with too few for any entry to reach ``Z``, the lexicon is empty and the score is the smoothed
+share of toxic labels; conflicting labels of an id
 count as toxic; null ids match no label; an empty table gives no rows; only id and text of a document are read.
 """
 
@@ -30,11 +31,10 @@ from pyspark.sql import functions as F
 from foldwise.llm.common import kept, remainder, table
 from foldwise.llm.registry import query
 
-PRIOR = 200.0
+# Prior mass of each class for each labelled document; chosen by threefold cross-validation on training labels only.
+PRIOR = 0.1
 Z = 3.0
-LEAST = 3.0
 STEM = 5
-LEXICON = 20_000
 DRIFT = -0.2
 K = 0.1
 # Labels that go to every executor at most (16 bytes each); more are joined by shuffle.
@@ -79,24 +79,50 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
+def value_of(word: bytes, lexicon: dict[bytes, float]) -> float:
+    """The higher of a word's entries (the word, its beginning); ``DRIFT`` without any."""
+    own, stem = lexicon.get(word), lexicon.get(word[:STEM] + b"*")
+    if own is None or stem is None:
+        return DRIFT if own is stem else stem if own is None else own
+    return max(own, stem)
+
+
+def _values(lexicon: dict[bytes, float]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = Counter()
+            for text in batch.column("text").to_pylist():
+                for word, n in Counter(tokens(text)).items():
+                    total[value_of(word, lexicon)] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], names=["value", "n"])
+    return count
+
+
 def learn(train: DataFrame) -> dict:
     """The lexicon, lambda and the numbers of documents from (text, label)."""
     counts = kept(train.select("text", F.col("label").cast("int").alias("label")).mapInArrow(_count, "word binary, clean long, toxic long")
                   .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     totals = {bytes(r["word"]): (r["clean"], r["toxic"]) for r in counts.filter(F.col("word").isin(bytearray(b""), bytearray(b"\0"))).collect()}
-    (n0, n1), (words0, _) = totals.get(b"", (0, 0)), totals.get(b"\0", (0, 0))
+    n0, n1 = totals.get(b"", (0, 0))
     if not n0 or not n1:
         return {"lexicon": {}, "lambda": 1.0, "clean": n0, "toxic": n1}
-    alpha = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
+    mass = PRIOR * (n0 + n1)
+    alpha = PRIOR * (F.col("clean") + F.col("toxic"))
     one, zero = F.col("toxic") + alpha, F.col("clean") + alpha
-    delta = F.log(one / (n1 + PRIOR - one)) - F.log(zero / (n0 + PRIOR - zero))
-    ranked = counts.filter(F.length("word") > 1).filter((one < n1 + PRIOR) & (zero < n0 + PRIOR)).select(
-        "word", "clean", delta.alias("score"), (delta / F.sqrt(1 / one + 1 / zero)).alias("z"))
-    chosen = ranked.filter((F.col("z") >= Z) & (F.col("score") >= LEAST)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    lexicon = {bytes(r["word"]): r["score"] for r in chosen}
-    scores = np.array([r["score"] for r in chosen] + [DRIFT])
-    share = np.array([(r["clean"] + 0.5) / (words0 + 1) for r in chosen] + [0.0])
-    share[-1] = 1 - share[:-1].sum()
+    delta = F.log(one / (n1 + mass - one)) - F.log(zero / (n0 + mass - zero))
+    ranked = counts.filter(F.length("word") > 1).filter((one < n1 + mass) & (zero < n0 + mass)).select(
+        "word", delta.alias("score"), (delta / F.sqrt(1 / one + 1 / zero)).alias("z"))
+    # An entry of a few documents does not reach Z, so the lexicon is far smaller than the vocabulary.
+    lexicon = {bytes(r["word"]): r["score"] for r in ranked.filter(F.abs("z") >= Z).collect()}
+    if not lexicon:
+        return {"lexicon": {}, "lambda": 1.0, "clean": n0, "toxic": n1}
+    found = train.filter(F.col("label") == 0).select("text").mapInArrow(_values(lexicon), "value double, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    # Half a word for every entry, so that those the clean texts lack count too.
+    weight = Counter({v: 0.5 * n for v, n in Counter(lexicon.values()).items()})
+    for r in found.collect():
+        weight[r["value"]] += r["n"]
+    scores, share = np.array(list(weight)), np.array(list(weight.values()), float)
+    share /= share.sum()
     low, high = 1e-6, 1.0
     while (share * np.exp(np.minimum(high * scores, 700))).sum() < 1 and high < 1e3:
         high *= 2
@@ -109,13 +135,16 @@ def learn(train: DataFrame) -> dict:
 def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, start, stop) of a sequence that scores ``drift`` except at ``places``.
 
-    Candidates are kept with the running total before and after them; a new one swallows those on its left whose start lies
+    Only positive scores are candidates. Candidates are kept with the running total before and after them; a new one swallows those on its left whose start lies
     lower while their end lies no higher. Each is pushed and removed once.
     """
     stack: list[list] = []  # [total before, total after, start, stop, index of the last candidate with a lower start, or -1]
     total, last = 0.0, -1
     for place, score in zip(places, scores):
         total += drift * (place - last - 1)
+        if score <= 0:
+            total, last = total + score, place
+            continue
         new = [total, total + score, place, place + 1, -1]
         total, last = total + score, place
         at = len(stack) - 1
@@ -140,8 +169,8 @@ def _scan(model: dict):
             best, share, passages = [], [], []
             for text in batch.column("text").to_pylist():
                 found = tokens(text)
-                value = {w: max(lexicon.get(w, 0.0), lexicon.get(w[:STEM] + b"*", 0.0)) for w in set(found)}
-                places = [i for i, w in enumerate(found) if value[w] > 0]
+                value = {w: value_of(w, lexicon) for w in set(found)}
+                places = [i for i, w in enumerate(found) if value[w] != DRIFT]
                 offset = math.log(K * max(len(found), 1 / K))
                 strong = [(rate * s - offset, a, b) for s, a, b in segments(places, [value[found[i]] for i in places])]
                 strong = [x for x in strong if x[0] > 0]

@@ -178,6 +178,32 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
 
 
+def test_toxicity_with_few_labels(spark):
+    """The smaller table has 33 toxic training labels; its lexicon is not empty and held-out toxic documents are caught."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = QUERIES["op7_toxicity"](spark, sf).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic) > 0
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    assert sum(r.doc_id not in left for r in toxic) >= 0.7 * len(toxic)
+
+
+def test_toxicity_signed_segments():
+    """A clean word between two toxic ones parts them; scores of either sign against all cuts."""
+    assert toxicity.segments([0, 1, 2], [2.0, -3.0, 2.0]) == [(2.0, 0, 1), (2.0, 2, 3)]
+    random = np.random.default_rng(6)
+    for _ in range(100):
+        places = sorted(random.choice(40, int(random.integers(1, 25)), replace=False).tolist())
+        scores = [float(x) for x in random.choice([-3, -1, 1, 2, 4], len(places))]
+        line = [-0.5] * 40
+        for p, s in zip(places, scores):
+            line[p] = s
+        best = max(sum(line[a:b]) for a in range(40) for b in range(a + 1, 41))
+        assert max((s for s, _, _ in toxicity.segments(places, scores, -0.5)), default=0.0) == max(best, 0.0)
+
+
 def test_katz(spark, docs, empty):
     """Scores of three orders against a recursive count model; every context sums to one."""
     order = 3
