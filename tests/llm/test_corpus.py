@@ -104,6 +104,44 @@ def test_near_duplicates_chain(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def groups_by_brute_force(texts, percent):
+    """Smallest id of each group of texts (id -> text), from all pairs that share a five-word shingle."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, words(t)) for i, t in texts.items()) if w}
+    # Equal sets stand for each other.
+    first = {}
+    root = {i: first.setdefault(frozenset(s), i) for i, s in sorted(sets.items())}
+    holders = collections.defaultdict(list)
+    for i in first.values():
+        for g in sets[i]:
+            holders[g].append(i)
+    common = collections.Counter((a, b) for h in holders.values() for a in h for b in h if a < b)
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    low = {i: i for i in first.values()}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                moved = True
+    return {i: low[root[i]] if i in root else i for i in texts}
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    """Texts of every similarity around 0.8 beside the given ones; the stage keeps the smallest id of each group at 0.8, op2 at 0.85."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for k in range(40):
+        base = [f"b{k}-{j}" for j in range(204)]
+        texts[10_000 + 2 * k] = " ".join(base)
+        texts[10_001 + 2 * k] = " ".join(base[: 204 - 20 - k] + [f"e{k}-{j}" for j in range(k)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = groups_by_brute_force(texts, 80)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i, low in want.items() if i == low}
+    narrow = groups_by_brute_force(texts, 85)
+    assert {r.doc_id: r.component_id for r in near_duplicates.cluster(docs).collect()} == narrow and narrow != want
+
+
 def test_posterior_never_drops_clear_pairs():
     for n, least in near_duplicates.least_agreements(0.85):
         assert 0 < least <= 0.85 * n
