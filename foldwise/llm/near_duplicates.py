@@ -95,6 +95,7 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
+        digests = batch.column("digest")
         ids, sizes, prints, signs = [], [], [], []
         for i, text in zip(batch.column("doc_id"), batch.column("text")):
             s = shingle_set(text.as_py(), hashes)
@@ -103,14 +104,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
             signs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())],
-            names=["doc_id", "n_shingles", "print", "sign"])
+            [pa.array(ids, pa.int64()), digests, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())],
+            names=["doc_id", "digest", "n_shingles", "print", "sign"])
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, print, sign): set size, fingerprint of the set, MinHash signature."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, sign binary")
+    """(doc_id, digest, n_shingles, print, sign): set size, fingerprint of the set, MinHash signature; a missing digest stays null."""
+    digest = F.col("digest") if "digest" in docs.columns else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_sketch, "doc_id long, digest binary, n_shingles long, print binary, sign binary")
 
 
 def _bands(sign: Column) -> Column:
@@ -225,12 +227,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: t
     return kept(joined.mapInArrow(_confirmed(*threshold), "a binary, b binary"))
 
 
-def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row."""
+def placed_rows(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, digest, n_shingles, print, least), one row per input row (doc_id, digest, text).
+
+    ``least`` is the lowest (no_id, doc_id, digest) of the row's component; null, as ``print``, without shingles.
+    """
     rate = threshold[0] / threshold[1]
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = kept(sketches(docs))
-    classes = sketched.filter(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    classes = sketched.filter(F.col("print").isNotNull()).groupBy("print").agg(
+        F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"), F.min(rank).alias("own"))
     classes = kept(classes)
     signs = classes.select("print", "sign")
 
@@ -266,11 +272,17 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str
     if not more.isEmpty():
         roots = components(links.union(more))
 
-    labels = classes.select("print", "doc_id").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = labels.join(least, "root").select("print", "component_id")
-    rows = sketched.select("doc_id", "n_shingles", "print").join(labels, "print", "left")
-    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    labels = classes.select("print", "own").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    least = labels.groupBy("root").agg(F.min("own").alias("least"))
+    labels = labels.join(least, "root").select("print", "least")
+    return sketched.select("doc_id", "digest", "n_shingles", "print").join(labels, "print", "left")
+
+
+def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = placed_rows(docs, threshold)
+    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -179,15 +179,16 @@ def _scan(model: dict):
                 passages.append([{"start": a, "stop": b, "significance": s} for s, a, b in strong])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("significance", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(best, pa.float64()), pa.array(share, pa.float64()), pa.array(passages, kind)],
-                names=["doc_id", "best", "share", "passages"])
+                [batch.column("doc_id"), batch.column("digest"), pa.array(best, pa.float64()), pa.array(share, pa.float64()), pa.array(passages, kind)],
+                names=["doc_id", "digest", "best", "share", "passages"])
     return scan
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, best significance, share of words in significant segments, passages in words)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _scan(model), "doc_id long, best double, share double, passages array<struct<start:int,stop:int,significance:double>>")
+    """(doc_id, digest, best significance, share of words in significant segments, passages in words); a missing digest stays null."""
+    digest = F.col("digest") if "digest" in docs.columns else F.lit(None).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(
+        _scan(model), "doc_id long, digest binary, best double, share double, passages array<struct<start:int,stop:int,significance:double>>")
 
 
 def fit_curve(cells: list[tuple[float, float, int, int]], prior: tuple[float, float]) -> tuple[float, float, float]:
@@ -212,8 +213,11 @@ def fit_curve(cells: list[tuple[float, float, int, int]], prior: tuple[float, fl
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, best, share, passages) for every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, label)."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, digest, score, best, share, passages) for every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, label).
+
+    A column ``digest`` of the documents names their texts in the result.
+    """
+    docs = docs.select("doc_id", "text", *(["digest"] if "digest" in docs.columns else []))
     model = learn(labelled(docs, labels))
     scanned = kept(scan(docs, model))
     cells = labelled(scanned.select("doc_id", F.round("best", 1).alias("best"), F.round("share", 2).alias("share")), labels)

@@ -142,6 +142,29 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates.cluster(docs).collect()} == narrow and narrow != want
 
 
+def test_near_duplicate_stage_decides_rows(spark):
+    """One row of a group stays whatever its id; a kept id's other text is judged by its own group; wordless rows all stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a + " end", "x"), (2, b, "x"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (None, None, "x"), (3, "", "x"), (3, "", "x")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert left.columns == docs.columns
+        got = collections.Counter((r.doc_id, r.text) for r in left.collect())
+        assert got == {(1, a): 1, (2, b): 1, (None, c): 1, (None, None): 1, (3, ""): 2}
+
+
+def test_toxic_stage_decides_rows(spark):
+    """A toxic text goes under a null or shared id too; a clean text of the same id stays."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    gone = docs.join(corpus_pipeline.drop_toxic(spark, docs, sf), "doc_id", "left_anti").orderBy("doc_id").first()
+    free = 10**9
+    more = spark.createDataFrame([(None, gone.text), (None, "a clean line"), (free, gone.text), (free, "a clean line"), (free, None)], "doc_id long, text string")
+    left = corpus_pipeline.drop_toxic(spark, docs.union(more), sf).filter(f"doc_id IS NULL OR doc_id = {free}").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left) == {(None, "a clean line"): 1, (free, "a clean line"): 1, (free, None): 1}
+
+
 def test_posterior_never_drops_clear_pairs():
     for n, least in near_duplicates.least_agreements(0.85):
         assert 0 < least <= 0.85 * n
