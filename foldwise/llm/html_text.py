@@ -8,7 +8,7 @@ menu, header, footer, sidebar, notice, advert, form, script, style or comment se
 Pages are handled one by one inside tasks; nothing is gathered.
 
 Defined results: null, empty or textless pages give an empty text; unclosed and stray tags are closed as browsers do it for
-paragraphs, items and cells; repeated rows each keep their row; an empty table gives no rows; other columns are ignored.
+paragraphs, items and cells, and never end the page except for script, style and textarea; repeated rows each keep their row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 from foldwise.llm.common import table
 from foldwise.llm.registry import query
 
+# Self-closed raw elements end at once (a slash that ends an unquoted value closes nothing). Without an end tag only script, style and
+# textarea reach to the end of the page; of the others the start tag is a tag like any other. Buttons and the like do not nest.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|iframe|svg|textarea|select|button)(?:\s(?:[^>]*[\s\"'])?)?/>"
+    r"|<(?P<raw>script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<part>template|svg)(?=[\s/>])[^>]*>.*?</(?P=part)\s*>"
+    r"|<(?P<flat>noscript|iframe|select|button)(?=[\s/>])[^>]*>(?:(?!<(?P=flat)[\s/>]).)*?</(?P=flat)\s*>"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s[^>]*?|/)?)>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br img".split())

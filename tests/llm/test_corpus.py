@@ -336,6 +336,15 @@ def test_html(spark):
     assert html_text.extract(pages).count() == 3 and html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [
+    '<svg class="i"/>', "<svg/>", "<iframe src='x' />", "<button-bar></button-bar>", "<svg-icon>", "<template-x></template-x>", "<button>", "<select name=s>", "<svg>", "<noscript>",
+    "<script src='a'/>", "<button>x</button>", "<svg><title>x</title></svg>", "<script src=/a/>x</script>", "<select><option>x</select>", "<textarea>x</textarea>", "<style>x</style>"])
+def test_html_raw_elements_cut_nothing(part):
+    lines = ["First line, with words.", "Second line, with words.", "Third line, with words."]
+    page = f"<body><p>{lines[0]}</p>{part}<p>{lines[1]}</p><button>y</button><p>{lines[2]}</p></body>"
+    assert html_text.main_text(page) == "\n".join(lines)
+
+
 def test_rules_of_forest():
     text = "Forest\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 1.5)\n     If (feature 1 > 2.0)\n      Predict: 0.0\n     Else (feature 1 <= 2.0)\n      Predict: 1.0\n    Else (feature 0 > 1.5)\n     Predict: 1.0\n"
     assert quality.rules_of(text, ["a", "b"]) == sorted([
