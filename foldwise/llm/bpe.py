@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a distinct-word table.
 
-Texts are split at ASCII white space in tasks that pack their rows into blocks: the key columns, the distinct words of the block in order of
-first use, and every document as places in that list. The blocks are written once. Each block then asks the ranges of a 64-bit word hash
+Texts are split at ASCII white space in tasks that pack their rows into blocks: the key columns, the distinct words of the block, frequent
+ones first, and every document as places in that list. The blocks are written once. Each block then asks the ranges of a 64-bit word hash
 for the ids of its distinct words, so a word costs a block one question however often it occurs; a range holds all askers of its words, so each
 distinct word of the corpus is encoded once. The answers meet the blocks by block number, and ids follow by position: a gather of runs.
 Decoding joins ids with the pieces of the vocabulary (bounded by its size) and joins the pieces of each row in order.
@@ -40,6 +40,7 @@ BLOCK_CHARS = 32_000_000
 RANGE_WORDS = 500_000
 # Tokens handled at a time while ids or pieces of a block are laid out.
 STEP_TOKENS = 1_000_000
+LEVEL = 9
 BLOCK = "block long, n_words long, keys binary, words binary, counts binary, places binary"
 ASK = "range long, block long, at binary, words binary"
 ANSWER = "block long, at binary, lengths binary, ids binary"
@@ -90,7 +91,7 @@ def pieces(path: str, skip_special: bool = False) -> pa.Array:
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers below 2^32, byte plane by byte plane, which suits the compressor better than one number after the other."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -98,9 +99,19 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit; their pairs repeat, so they stay side by side."""
+    narrow = not len(ids) or ids.max() < 1 << 16
+    return (b"2" if narrow else b"4") + zstandard.ZstdCompressor(level=LEVEL).compress(ids.astype("<u2" if narrow else "<u4").tobytes())
+
+
+def _unpack_ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), f"<u{packed[:1].decode()}")
+
+
 def _join(items: list[bytes]) -> bytes:
     # A word holds no white space, so a line feed parts them.
-    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(items))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"\n".join(items))
 
 
 def _split(packed: bytes) -> list[bytes]:
@@ -136,7 +147,13 @@ class _Block:
         with pa.ipc.new_stream(sink, keys.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(keys)
         places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
-        values = [block, len(self.words), sink.getvalue().to_pybytes(), _join(list(self.words)), _pack(np.array(self.counts, np.uint32)), _pack(places)]
+        # Frequent words get the small numbers, which take less room.
+        order = np.argsort(-np.bincount(places, minlength=len(self.words)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        words = list(self.words)
+        places = number[places]
+        values = [block, len(words), sink.getvalue().to_pybytes(), _join([words[i] for i in order]), _pack(np.array(self.counts, np.uint32)), _pack(places)]
         names = ["block", "n_words", "keys", "words", "counts", "places"]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(values)], names=names)
 
@@ -180,7 +197,7 @@ def _asked(ranges: int):
                 for at, upto in zip(starts, [*starts[1:], len(order)]):
                     mine = order[at:upto]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number[mine[0]]]), pa.array([block]), pa.array([_pack(mine)], pa.binary()), pa.array([_join([found[i] for i in mine])], pa.binary())],
+                        [pa.array([number[mine[0]]]), pa.array([block]), pa.array([_pack(np.diff(mine, prepend=0))], pa.binary()), pa.array([_join([found[i] for i in mine])], pa.binary())],
                         names=["range", "block", "at", "words"],
                     )
 
@@ -207,7 +224,7 @@ def _encoded(path: str):
         rows = {"block": asked.column("block").to_pylist(), "at": asked.column("at").to_pylist(), "lengths": [], "ids": []}
         for mine in wanted:
             rows["lengths"].append(_pack(lengths[mine]))
-            rows["ids"].append(_pack(np.concatenate([runs[i] for i in mine])))
+            rows["ids"].append(_pack_ids(np.concatenate([runs[i] for i in mine])))
         return pa.table(rows, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
 
     return answer
@@ -229,10 +246,10 @@ def _placed(schema: pa.Schema):
             starts, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
             runs, base = [], 0
             for at, size, ids in zip(*(answers.column(c).to_pylist() for c in ("at", "lengths", "ids"))):
-                at, size = _unpack(at), _unpack(size).astype(np.int64)
+                at, size = np.cumsum(_unpack(at), dtype=np.int64), _unpack(size).astype(np.int64)
                 starts[at] = base + np.cumsum(size) - size
                 lengths[at] = size
-                runs.append(_unpack(ids).astype(np.int32))
+                runs.append(_unpack_ids(ids).astype(np.int32))
                 base += len(runs[-1])
             ids = np.concatenate(runs) if runs else np.zeros(0, np.int32)
             places, counts = _unpack(row["places"]), _unpack(row["counts"]).astype(np.int64)

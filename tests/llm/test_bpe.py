@@ -47,7 +47,7 @@ def test_unfit_vocabulary(spark):
 def test_each_distinct_word_is_asked_once_a_block(spark):
     docs = spark.createDataFrame([(i, "the same words again and again the same") for i in range(500)], "doc_id long, text string").coalesce(1)
     row = bpe.blocks(docs, ["doc_id"]).first()
-    assert row.n_words == 5 and bpe._split(row.words) == [b"the", b"same", b"words", b"again", b"and"]
+    assert row.n_words == 5 and bpe._split(row.words) == [b"the", b"same", b"again", b"words", b"and"]
 
 
 def test_query_on_whole_tables(spark, sf_dir):
