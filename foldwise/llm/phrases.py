@@ -122,7 +122,6 @@ def _counted(number: dict[bytes, int], runs: dict[str, list[int]], longest: int,
             ends = text.take(pa.array(last - 1))
             starts = text.take(pa.array(first - 1)) if phrases is None else phrases.take(pa.array(first - 1))
             found = pc.binary_join_element_wise(starts, ends, b" ")
-            some = np.zeros(len(codes), np.int64)
             sample = np.zeros(len(codes), np.int64)
             sample[where] = at
             some = np.flatnonzero(~then[sample]) if before is not None else np.arange(len(codes))
@@ -267,6 +266,12 @@ def _rest(phrase: Column, k: Column, size: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), k + 1, size - k), " ")
 
 
+def exact_score(a: str, l: str, r: str) -> Column:  # noqa: E741
+    """The whole part of 1,000,000 a a / (l r), in decimals of 38 digits."""
+    wide = "CAST({} AS DECIMAL(15, 0))".format
+    return F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * ({wide(a)} * {wide(a)})) DIV ({wide(l)} * {wide(r)})")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: tuple[int, int] = COVER, top: int = TOP, **mining) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language by the score of their weakest cut."""
     every, words, _ = frequent_phrases(docs, least, longest, **mining)
@@ -282,9 +287,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     cuts = cuts.withColumn("_rest", _rest(F.col("phrase"), F.col("k"), F.col("size")))
     known = every.select("lang", F.col("phrase").alias("_p"), "n")
     cuts = cuts.join(known.withColumnsRenamed({"_p": "_first", "n": "l"}), ["lang", "_first"]).join(known.withColumnsRenamed({"_p": "_rest", "n": "r"}), ["lang", "_rest"])
-    wide = {c: f"CAST({c} AS DECIMAL(15, 0))" for c in "alr"}
-    score = F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * ({wide['a']} * {wide['a']})) DIV ({wide['l']} * {wide['r']})")
-    weakest = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
+    weakest = cuts.withColumn("score", exact_score("a", "l", "r")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
     scored = weakest.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     first = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
