@@ -3,16 +3,19 @@
 A sample of the rows names the words and shorter phrases that are frequent there at a lowered threshold. A full pass then counts, in
 every occurrence, each phrase whose parts (first and last words but one) were named: these are the proposed phrases and their negative
 border. A counted phrase that is frequent in all texts without having been named is a border failure; it is named now, and a further pass counts
-exactly what that adds. The passes end when a full pass leaves no failure, after at most as many passes as a phrase may have words. The
-counts are then those of every frequent phrase: a part of a frequent phrase is at least as frequent, hence named, hence all its extensions counted.
+exactly what that adds. The passes end when a full pass leaves no failure, after at most as many passes as a phrase may have words. A part of
+a frequent phrase is at least as frequent, hence named, hence all its extensions counted: none is missed.
 
-Named phrases are bits of two-bit Bloom tables of at most ``MOST_BITS`` bits, the only thing broadcast; a falsely set bit lets a phrase be counted that need
-not be, never the reverse. Tasks count ``CHUNK`` words at a time in their own numbering of words, so a word or phrase of a third
-of all texts leaves a chunk as one row; Spark adds the rows up by language and phrase, exactly and under the phrase's own text.
+These passes add up 64-bit fingerprints, which is lean; two phrases of one fingerprint could only make a count too high. A last pass
+counts every phrase whose fingerprint reached the threshold again, under its own text, and only those counts are used: they are exact.
+
+Named and frequent phrases are bits of two-bit Bloom tables of at most ``MOST_BITS`` bits, the only thing broadcast; a falsely set bit lets a phrase be
+counted that need not be, never the reverse. Tasks count ``CHUNK`` words at a time, so a word or phrase of a third of all texts leaves
+a chunk as one row.
 
 Defined results: null texts have no words, a null language is ``und`` and one with any real ``und``; a language without candidates
 gives no rows; ties end with the phrase in byte order; repeated rows count as often as they occur; an empty table gives no rows; other
-columns are ignored. Counts must stay below 10^15, for which the products fit decimals of 38 digits.
+columns are ignored. Counts must stay below 10^15, for which the products fit decimals of 38 digits. Phrases have eight words at most.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ SHARE, EASE = 0.25, 0.8
 CHUNK = 4_000_000
 MOST_BITS = 1 << 27
 SEGMENT_BITS = 1 << 19
+STEP = 200_000
 COUNTS = "lang string, size int, phrase string, n long"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,152 +50,158 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Named:
-    """A bit table of phrases, by their 64-bit hashes."""
+    """A bit table of fingerprints."""
 
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
 
     @staticmethod
-    def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-        """Two bits per hash; ``bits`` is a power of two."""
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        """Two bits per fingerprint, from its two halves; ``bits`` is a power of two."""
         mask = np.uint64(bits - 1)
-        return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask]).astype(np.int64)
+        return np.stack([(keys >> np.uint64(3)) & mask, (keys >> np.uint64(34)) & mask]).astype(np.int64)
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.places(hashes, len(self.table) * 8)
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, len(self.table) * 8)
         return ((self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
-    def joined(self, other: "Named | None") -> "Named":
-        return self if other is None else Named(self.table | other.table)
-
-
-def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    own = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1))
-    return mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) ^ own)
-
-
-def _longer(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from those of its first words but one and of its last word."""
-    return mixed(first * _MULTIPLIER + last)
-
-
-def _phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    out = np.zeros(len(phrases), np.uint64)
-    for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-        words = _word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
-        found = words[:1]
-        for k in range(1, len(words)):
-            found = _longer(found, words[k : k + 1])
-        out[i] = found[0]
-    return out
-
-
-def _counted(number: dict[bytes, int], runs: dict[str, list[int]], longest: int, before: list[Named] | None, named: list[Named] | None) -> Iterator[pa.RecordBatch]:
-    """Counts of one chunk. Without ``named`` all phrases are counted, else those whose parts are named; with ``before`` only those not counted then."""
-    words = list(number)
-    text = pa.array(words, pa.binary())
-    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-    def rows(lang: str, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), pa.array(np.full(len(n), size, np.int32)), phrases.cast(pa.string()), pa.array(n, pa.int64())],
-            names=["lang", "size", "phrase", "n"],
-        )
-
-    for lang, run in runs.items():
-        ids = np.array(run, np.int64)  # 0 where a piece ends
-        real = ids > 0
-        n = np.bincount(ids, minlength=len(words) + 1)[1:]
-        used = np.flatnonzero(n)
-        if before is None:
-            yield rows(lang, 1, text.take(pa.array(used)), n[used])
-        hashes = np.r_[np.uint64(0), mixed(base ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1)))]
-        # Per position: number and hash of the phrase that begins there, whether it was or is counted and whether it is named.
-        place, place_hash, phrases = ids, hashes[ids], None
-        now, then = real, real if before is not None else np.zeros(len(ids), bool)
-        for size in range(2, longest + 1):
-            def extends(eligible: np.ndarray, sets: list[Named] | None) -> np.ndarray:
-                if sets is not None:
-                    eligible = eligible & _held(sets[size - 2], place, place_hash, eligible)
-                return eligible[:-1] & eligible[1:] & real[size - 1 :]
-
-            now, then = extends(now, named), extends(then, before) if before is not None else np.zeros(max(len(now) - 1, 0), bool)
-            at = np.flatnonzero(now)
-            codes, where, n = np.unique(place[at] * (len(words) + 1) + ids[at + size - 1], return_inverse=True, return_counts=True)
-            first, last = codes // (len(words) + 1), codes % (len(words) + 1)
-            ends = text.take(pa.array(last - 1))
-            starts = text.take(pa.array(first - 1)) if phrases is None else phrases.take(pa.array(first - 1))
-            found = pc.binary_join_element_wise(starts, ends, b" ")
-            sample = np.zeros(len(codes), np.int64)
-            sample[where] = at
-            some = np.flatnonzero(~then[sample]) if before is not None else np.arange(len(codes))
-            if len(some):
-                yield rows(lang, size, found.take(pa.array(some)), n[some])
-            code_hashes = _longer(place_hash[sample], hashes[last])
-            place = np.zeros(len(now), np.int64)
-            place[at] = where + 1
-            place_hash = np.zeros(len(now), np.uint64)
-            place_hash[at] = code_hashes[where]
-            phrases = found
-
-
-def _held(named: Named, place: np.ndarray, place_hash: np.ndarray, eligible: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(place), bool)
-    at = np.flatnonzero(eligible)
-    out[at] = named.holds(place_hash[at])
-    return out
-
-
-def count_phrases(docs: DataFrame, longest: int, before=None, named=None, chunk: int = CHUNK) -> DataFrame:
-    """(lang, size, phrase, n) summed over all of ``docs`` (lang, text); ``before`` and ``named`` are broadcast bit tables per size."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = (b.value if b is not None else None for b in (before, named))
-        number: dict[bytes, int] = {}
-        runs: dict[str, list[int]] = {}
-        held = 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = tokens(batch.column("text")[i].as_py())
-                if not found:
-                    continue
-                for word in found:
-                    if word not in number:
-                        number[word] = len(number) + 1
-                run = runs.setdefault(batch.column("lang")[i].as_py(), [])
-                run += map(number.__getitem__, found)
-                run.append(0)
+    def held(self, keys: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """``where`` less the places whose fingerprint is not in the table."""
+        out = np.zeros(len(where), bool)
+        at = np.flatnonzero(where)
+        out[at] = self.holds(keys[at])
+        return out
+
+
+def _key(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprint of a phrase: its hash, with the number of words less one in the three lowest bits."""
+    return (hashes & ~np.uint64(7)) | np.uint64(size - 1)
+
+
+class _Numbers(dict):
+    """word -> number in order of first use; the full stop is 0."""
+
+    def __init__(self) -> None:
+        super().__init__({b".": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class _Run:
+    """One language's words of a chunk: numbers and hashes by place, and per size the fingerprints that begin there."""
+
+    def __init__(self, lang: str, ids: np.ndarray, base: np.ndarray, longest: int) -> None:
+        self.lang, self.ids = lang, ids
+        own = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1))
+        words = mixed(base ^ own)[ids]
+        self.real = ids > 0
+        self.keys = []
+        hashes = words
+        for size in range(1, longest + 1):
+            if size > 1:
+                hashes = mixed(hashes[:-1] * _MULTIPLIER + words[size - 1 :])
+            self.keys.append(_key(hashes, size))
+
+    def counted(self, named: list[Named]) -> Iterator[np.ndarray]:
+        """Per size, the places of the phrases whose parts all tables of ``named`` hold; with none, of all phrases."""
+        ok = self.real
+        yield ok
+        for size in range(2, len(self.keys) + 1):
+            part = self.keys[size - 2]
+            for table in named:
+                ok = table.held(part[: len(ok)], ok)
+            ok = ok[:-1] & ok[1:]
+            yield ok
+
+
+def _runs(docs: Iterator[pa.RecordBatch], longest: int, chunk: int) -> Iterator[tuple[list[bytes], list[_Run]]]:
+    """Chunks of whole texts: the distinct words by number and one run per language."""
+    number, parts, held = _Numbers(), {}, 0
+
+    def done() -> tuple[list[bytes], list[_Run]]:
+        base = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        return list(number), [_Run(lang, np.concatenate(p), base, longest) for lang, p in parts.items()]
+
+    for batch in docs:
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            found = tokens(text.as_py())
+            if found:
+                found.append(b".")
+                parts.setdefault(lang.as_py(), []).append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
                 held += len(found)
                 if held >= chunk:
-                    yield from _counted(*_without_ends(number, runs), longest, old, new)
-                    number, runs, held = {}, {}, 0
-        if held:
-            yield from _counted(*_without_ends(number, runs), longest, old, new)
+                    yield done()
+                    number, parts, held = _Numbers(), {}, 0
+    if held:
+        yield done()
+
+
+def count_fingerprints(docs: DataFrame, longest: int, named=None, before=None, chunk: int = CHUNK) -> DataFrame:
+    """(key, n) of phrases over all of ``docs`` (lang, text), by fingerprint. With a broadcast table ``named``, of those whose parts it holds; with
+    ``before`` too, of those only that are not counted by that table."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old = ([b.value] if b is not None else [] for b in (named, before))
+        for _, runs in _runs(batches, longest, chunk):
+            for size in range(1, longest + 1):
+                found = []
+                for run in runs:
+                    now = list(run.counted(new))[size - 1]
+                    if old:
+                        now = now & ~list(run.counted(old))[size - 1]
+                    found.append(run.keys[size - 1][now])
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
+                for at in range(0, len(keys), STEP):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + STEP].view(np.int64)), pa.array(n[at : at + STEP])], names=["key", "n"])
+
+    return docs.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def count_texts(docs: DataFrame, longest: int, frequent, chunk: int = CHUNK) -> DataFrame:
+    """(lang, size, phrase, n) of the phrases whose fingerprint the broadcast table holds, counted under their text; size 0 holds all words."""
+
+    def rows(run: _Run, text: pa.Array, size: int) -> pa.RecordBatch:
+        at = np.flatnonzero(frequent.value.held(run.keys[size - 1], _unbroken(run.real, size)))
+        # Phrases by the numbers of their words: the number of the phrase so far, then the next word.
+        phrase, place = text, run.ids[at]
+        for k in range(1, size):
+            codes, place = np.unique(place * len(text) + run.ids[at + k], return_inverse=True)
+            phrase = pc.binary_join_element_wise(phrase.take(pa.array(codes // len(text))), text.take(pa.array(codes % len(text))), b" ")
+        n = np.bincount(place, minlength=len(phrase))
+        some = np.flatnonzero(n)
+        return _rows(run.lang, size, phrase.take(pa.array(some)), n[some])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, runs in _runs(batches, longest, chunk):
+            text = pa.array(words, pa.binary())
+            for run in runs:
+                yield _rows(run.lang, 0, pa.array([b""]), np.array([run.real.sum()]))
+                for size in range(1, longest + 1):
+                    yield rows(run, text, size)
 
-    counted = docs.mapInArrow(task, COUNTS)
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(task, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _without_ends(number: dict[bytes, int], runs: dict[str, list[int]]) -> tuple[dict[bytes, int], dict[str, np.ndarray]]:
-    """The full stop takes number 0 and leaves the list of words."""
-    stop = number.get(b".")
-    if stop is None:
-        return number, {k: np.array(v, np.int64) for k, v in runs.items()}
-    words = {w: i for i, w in enumerate((w for w in number if w != b"."), 1)}
+def _unbroken(real: np.ndarray, size: int) -> np.ndarray:
+    """Places where ``size`` words follow each other without a break."""
+    for _ in range(size - 1):
+        real = real[:-1] & real[1:]
+    return real
 
-    def moved(run: list[int]) -> np.ndarray:
-        ids = np.array(run, np.int64)
-        return np.where(ids == stop, 0, np.where(ids > stop, ids - 1, ids))
 
-    return words, {k: moved(v) for k, v in runs.items()}
+def _rows(lang: str, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32)))
+    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(n), size, np.int32)), phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
 
 
-def named_bits(phrases: DataFrame, bits: int) -> Named:
-    """The bit table of (lang, phrase) rows, built in tasks by segments; the driver gets its bytes, ``bits`` / 8 at most."""
+def bit_table(keys: DataFrame, bits: int) -> Named:
+    """The table of fingerprints (``key``), built in tasks by segments; the driver gets its bytes, ``bits`` / 8 at most."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = Named.places(_phrase_hashes(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()), bits).ravel()
+            at = np.unique(Named.places(batch.column("key").to_numpy().view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT_BITS), pa.array(at % SEGMENT_BITS)], names=["segment", "at"])
 
     def fill(rows: pa.Table) -> pa.Table:
@@ -200,7 +210,7 @@ def named_bits(phrases: DataFrame, bits: int) -> Named:
         packed = np.packbits(segment, bitorder="little").tobytes()
         return pa.table({"segment": rows.column("segment").slice(0, 1), "packed": pa.array([packed], pa.binary())})
 
-    placed = phrases.select("lang", "phrase").mapInArrow(place, "segment long, at long").distinct()
+    placed = keys.select("key").mapInArrow(place, "segment long, at long").distinct()
     out = np.zeros(bits // 8, np.uint8)
     for r in placed.groupBy("segment").applyInArrow(fill, "segment long, packed binary").collect():
         start = r.segment * SEGMENT_BITS // 8
@@ -208,54 +218,43 @@ def named_bits(phrases: DataFrame, bits: int) -> Named:
     return Named(out)
 
 
+def _not_named(counts: DataFrame, shared) -> DataFrame:
+    """Border failures: frequent phrases whose bits are not set."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~shared.value.holds(batch.column("key").to_numpy().view(np.uint64))))
+
+    return counts.mapInArrow(task, "key long, n long")
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: float = SHARE, ease: float = EASE,
                      most_bits: int = MOST_BITS, chunk: int = CHUNK, lang: str = "lang", text: str = "text", seed: int = 7) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Exact counts (lang, size, phrase, n) of every phrase of at most ``longest`` words with n >= ``least``; words per language; phrases found by each pass."""
+    """Exact counts (lang, size, phrase, n) of every phrase of at most ``longest`` words with n >= ``least``; words per language; phrases each pass found frequent."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    may_grow = F.col("key").bitwiseAND(7) < longest - 1
     lowered = max(1, int(share * least * ease))
-    sample = kept(count_phrases(docs.sample(fraction=share, seed=seed), longest - 1, chunk=chunk).filter(F.col("n") >= lowered))
-    # Eight bits per phrase of the largest table, one size for all.
-    wanted = sample.groupBy("size").count().agg(F.max("count")).first()[0] or 1
-    bits = min(most_bits, max(SEGMENT_BITS, 1 << (16 * wanted - 1).bit_length()))
-    named = [named_bits(sample.filter(F.col("size") == s), bits) for s in range(1, longest)]
-    before = before_shared = None
-    found, passes = [], []
+    sample = kept(count_fingerprints(docs.sample(fraction=share, seed=seed), longest - 1, chunk=chunk).filter(F.col("n") >= lowered))
+
+    def bits(rows: int) -> int:
+        return min(most_bits, max(SEGMENT_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()))
+
+    size = bits(sample.count())
+    named, before, found, passes = bit_table(sample, size), None, None, []
     while True:
         shared = spark.sparkContext.broadcast(named)
-        counts = count_phrases(docs, longest, before_shared, shared, chunk)
-        if before is None:
-            counts = kept(counts.filter((F.col("n") >= least) | (F.col("size") == 1)))
-            words = counts.filter(F.col("size") == 1).groupBy("lang").agg(F.sum("n").alias("words"))
-            counts = counts.filter(F.col("n") >= least)
-        else:
-            counts = kept(counts.filter(F.col("n") >= least))
-        found.append(counts)
+        counts = kept(count_fingerprints(docs, longest, shared, before, chunk).filter(F.col("n") >= least))
+        found = counts if found is None else found.unionByName(counts)
         passes.append(counts.count())
-        failed = kept(_not_named(counts.filter(F.col("size") < longest), shared))
+        failed = kept(_not_named(counts.filter(may_grow), shared))
         if failed.isEmpty():
             break
-        before, before_shared = named, shared
-        named = [old.joined(named_bits(failed.filter(F.col("size") == s), bits)) for s, old in enumerate(named, 1)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every, words, passes
-
-
-def _not_named(counts: DataFrame, shared) -> DataFrame:
-    """Border failures: frequent phrases whose bits are not set."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            hashes = _phrase_hashes(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-            missing = np.zeros(len(sizes), bool)
-            for s, named in enumerate(shared.value, 1):
-                missing |= (sizes == s) & ~named.holds(hashes)
-            yield batch.filter(pa.array(missing))
-
-    return counts.select("lang", "size", "phrase", "n").mapInArrow(task, COUNTS)
+        before, named = shared, Named(named.table | bit_table(failed, size).table)
+    frequent = spark.sparkContext.broadcast(bit_table(found, bits(sum(passes))))
+    exact = kept(count_texts(docs, longest, frequent, chunk).filter((F.col("n") >= least) | (F.col("size") == 0)))
+    words = exact.filter(F.col("size") == 0).select("lang", F.col("n").alias("words"))
+    return exact.filter(F.col("size") > 0), words, passes
 
 
 def _first_words(phrase: Column, k: Column) -> Column:
