@@ -10,7 +10,7 @@ These passes add up 64-bit fingerprints, which is lean; two phrases of one finge
 counts every phrase whose fingerprint reached the threshold again, under its own text, and only those counts are used: they are exact.
 
 Named and frequent phrases are bits of two-bit Bloom tables of at most ``MOST_BITS`` bits, the only thing broadcast; a falsely set bit lets a phrase be
-counted that need not be, never the reverse. Tasks count ``CHUNK`` words at a time, so a word or phrase of a third of all texts leaves
+counted that need not be, never the reverse. Tasks count ``CHUNK`` bytes of text at a time, so a word or phrase of a third of all texts leaves
 a chunk as one row.
 
 Defined results: null texts have no words, a null language is ``und`` and one with any real ``und``; a language without candidates
@@ -20,12 +20,15 @@ columns are ignored. Counts must stay below 10^15, for which the products fit de
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +39,25 @@ from foldwise.llm.registry import query
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz.........")
 LEAST, LONGEST, COVER, TOP = 10, 3, (50, 100), 2000
 SHARE, EASE = 0.25, 0.8
-CHUNK = 4_000_000
+# Bytes of text counted at a time, and hashed at a time.
+CHUNK, SLICE = 12_000_000, 1 << 20
+# Characters of text to a range of fingerprints.
+RANGE_CHARS = 8_000_000
 MOST_BITS = 1 << 27
 SEGMENT_BITS = 1 << 19
 STEP = 200_000
 COUNTS = "lang string, size int, phrase string, n long"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_BREAK = re.compile(rb"[ \t.]")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words, with a full stop wherever a piece ends."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).replace(b".", b" . ").split() if text else []
+def _lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
+def _tokens(lowered: bytes) -> list[bytes]:
+    """Words, with a full stop wherever a piece ends."""
+    return lowered.replace(b".", b" . ").split()
 
 
 class Named:
@@ -90,13 +101,13 @@ class _Numbers(dict):
 
 
 class _Run:
-    """One language's words of a chunk: numbers and hashes by place, and per size the fingerprints that begin there."""
+    """One language's words of a chunk: per size the fingerprints that begin at each place; ``real`` is false where a piece ends."""
 
-    def __init__(self, lang: str, ids: np.ndarray, base: np.ndarray, longest: int) -> None:
+    def __init__(self, lang: str, hashes: np.ndarray, longest: int, ids: np.ndarray | None = None) -> None:
         self.lang, self.ids = lang, ids
         own = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1))
-        words = mixed(base ^ own)[ids]
-        self.real = ids > 0
+        self.real = hashes > 0
+        words = mixed(hashes ^ own)
         self.keys = []
         hashes = words
         for size in range(1, longest + 1):
@@ -116,47 +127,112 @@ class _Run:
             yield ok
 
 
-def _runs(docs: Iterator[pa.RecordBatch], longest: int, chunk: int) -> Iterator[tuple[list[bytes], list[_Run]]]:
-    """Chunks of whole texts: the distinct words by number and one run per language."""
-    number, parts, held = _Numbers(), {}, 0
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value per byte, and the powers of an odd number and of its inverse modulo 2^64."""
+    values = mixed(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
+    inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+    return values, *(np.cumprod(np.r_[np.uint64(1), np.full(size, m, np.uint64)], dtype=np.uint64) for m in (_MULTIPLIER, inverse))
+
+
+def hashed(lowered: bytes) -> np.ndarray:
+    """A hash per word and 0 per full stop, in order, without making the words: sums of byte values times powers, shifted back to the word's start."""
+    out = []
+    while lowered:
+        cut = SLICE
+        if len(lowered) > cut:
+            # A slice ends behind a break, wherever the next one is.
+            found = _BREAK.search(lowered, cut)
+            cut = found.end() if found else len(lowered)
+        text, lowered = np.frombuffer(lowered[:cut], np.uint8), lowered[cut:]
+        values, power, back = _powers(1 << max(SLICE, len(text) - 1).bit_length())
+        stop = text == 0x2E
+        inside = ~(stop | (text == 0x20) | (text == 0x09))
+        edge = np.diff(np.r_[False, inside, False].astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.cumsum(np.r_[np.uint64(0), values[text] * power[: len(text)]], dtype=np.uint64)
+        words = mixed((sums[ends] - sums[starts]) * back[starts])
+        hashes = np.zeros(len(text) + 1, np.uint64)
+        hashes[starts] = np.maximum(words, np.uint64(1))
+        stop[starts] = True
+        out.append(hashes[:-1][stop])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _runs(docs: Iterator[pa.RecordBatch], longest: int, chunk: int, texts: bool = False) -> Iterator[tuple[list[bytes], list[_Run]]]:
+    """Chunks of whole texts, one run per language; with ``texts`` also the distinct words and every word's number among them."""
+    number, parts, bits, held = _Numbers(), {}, {}, 0
 
     def done() -> tuple[list[bytes], list[_Run]]:
-        base = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-        return list(number), [_Run(lang, np.concatenate(p), base, longest) for lang, p in parts.items()]
+        # A full stop after each text; texts of one language are hashed together.
+        return list(number), [_Run(lang, hashed(b"".join(p)), longest, np.concatenate(bits[lang]) if texts else None) for lang, p in parts.items()]
 
     for batch in docs:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            found = tokens(text.as_py())
-            if found:
-                found.append(b".")
-                parts.setdefault(lang.as_py(), []).append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
-                held += len(found)
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            text = text.as_py()
+            if text:
+                text = _lowered(text) + b"."
+                parts.setdefault(lang, []).append(text)
+                held += len(text)
+                if texts:
+                    found = _tokens(text)
+                    bits.setdefault(lang, []).append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
                 if held >= chunk:
                     yield done()
-                    number, parts, held = _Numbers(), {}, 0
+                    number, parts, bits, held = _Numbers(), {}, {}, 0
     if held:
         yield done()
 
 
-def count_fingerprints(docs: DataFrame, longest: int, named=None, before=None, chunk: int = CHUNK) -> DataFrame:
-    """(key, n) of phrases over all of ``docs`` (lang, text), by fingerprint. With a broadcast table ``named``, of those whose parts it holds; with
-    ``before`` too, of those only that are not counted by that table."""
+def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending fingerprints as gaps, and their counts."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).tobytes()), squeeze(n.astype("<u4" if n.max() < 1 << 32 else "<u8").tobytes())
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    keys, n = np.cumsum(np.frombuffer(expand(keys), np.uint64), dtype=np.uint64), expand(n)
+    return keys, np.frombuffer(n, f"<u{len(n) // max(len(keys), 1) or 4}").astype(np.int64)
+
+
+def count_fingerprints(docs: DataFrame, longest: int, least: int, ranges: int, named=None, before=None, chunk: int = CHUNK) -> DataFrame:
+    """(key, n) of the phrases with n >= ``least`` over all of ``docs`` (lang, text), by fingerprint. With a broadcast table ``named``, of those whose parts
+    it holds; with ``before`` too, of those only that are not counted by that table. Chunks send their counts packed by ranges of fingerprints."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = ([b.value] if b is not None else [] for b in (named, before))
         for _, runs in _runs(batches, longest, chunk):
-            for size in range(1, longest + 1):
-                found = []
-                for run in runs:
-                    now = list(run.counted(new))[size - 1]
-                    if old:
-                        now = now & ~list(run.counted(old))[size - 1]
-                    found.append(run.keys[size - 1][now])
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                for at in range(0, len(keys), STEP):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + STEP].view(np.int64)), pa.array(n[at : at + STEP])], names=["key", "n"])
-
-    return docs.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            found = []
+            for run in runs:
+                then = run.counted(old) if old else None
+                for keys, now in zip(run.keys, run.counted(new)):
+                    found.append(keys[now & ~next(then) if then else now])
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            # Sorted by value, so each range is a slice.
+            number = _range_of(keys, ranges)
+            cuts = np.flatnonzero(np.r_[True, np.diff(number) != 0]) if len(keys) else []
+            rows = [(int(number[a]), *_packed(keys[a:z], n[a:z])) for a, z in zip(cuts, [*cuts[1:], len(keys)])]
+            for at in range(0, len(rows), 1000):
+                part = list(zip(*rows[at : at + 1000]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["range", "keys", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        parts = [_unpacked(k.as_py(), n.as_py()) for k, n in zip(rows.column("keys"), rows.column("n"))]
+        keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        keys, n = keys[starts], np.add.reduceat(n, starts)
+        enough = n >= least
+        return pa.table({"key": keys[enough].view(np.int64), "n": n[enough]})
+
+    return docs.mapInArrow(count, "range long, keys binary, n binary").groupBy("range").applyInArrow(add, "key long, n long")
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of a fingerprint by its upper half; ascending with the fingerprint."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def count_texts(docs: DataFrame, longest: int, frequent, chunk: int = CHUNK) -> DataFrame:
@@ -174,7 +250,7 @@ def count_texts(docs: DataFrame, longest: int, frequent, chunk: int = CHUNK) ->
         return _rows(run.lang, size, phrase.take(pa.array(some)), n[some])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, runs in _runs(batches, longest, chunk):
+        for words, runs in _runs(batches, longest, chunk, True):
             text = pa.array(words, pa.binary())
             for run in runs:
                 yield _rows(run.lang, 0, pa.array([b""]), np.array([run.real.sum()]))
@@ -235,7 +311,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     may_grow = F.col("key").bitwiseAND(7) < longest - 1
     lowered = max(1, int(share * least * ease))
-    sample = kept(count_fingerprints(docs.sample(fraction=share, seed=seed), longest - 1, chunk=chunk).filter(F.col("n") >= lowered))
+    ranges = -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 1) // RANGE_CHARS)
+    sample = kept(count_fingerprints(docs.sample(fraction=share, seed=seed), longest - 1, lowered, ranges, chunk=chunk))
 
     def bits(rows: int) -> int:
         return min(most_bits, max(SEGMENT_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()))
@@ -244,7 +321,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     named, before, found, passes = bit_table(sample, size), None, None, []
     while True:
         shared = spark.sparkContext.broadcast(named)
-        counts = kept(count_fingerprints(docs, longest, shared, before, chunk).filter(F.col("n") >= least))
+        counts = kept(count_fingerprints(docs, longest, least, ranges, shared, before, chunk))
         found = counts if found is None else found.unionByName(counts)
         passes.append(counts.count())
         failed = kept(_not_named(counts.filter(may_grow), shared))
