@@ -6,7 +6,7 @@ border. A counted phrase that is frequent in all texts without having been named
 exactly what that adds. The passes end when a full pass leaves no failure, after at most as many passes as a phrase may have words. A part of
 a frequent phrase is at least as frequent, hence named, hence all its extensions counted: none is missed.
 
-These passes add up 64-bit fingerprints, which is lean; two phrases of one fingerprint could only make a count too high. A last pass
+These passes add up 48-bit fingerprints, which is lean; two phrases of one fingerprint only make a count too high. A last pass
 counts every phrase whose fingerprint reached the threshold again, under its own text, and only those counts are used: they are exact.
 
 Named and frequent phrases are bits of two-bit Bloom tables of at most ``MOST_BITS`` bits, the only thing broadcast; a falsely set bit lets a phrase be
@@ -68,9 +68,9 @@ class Named:
 
     @staticmethod
     def places(keys: np.ndarray, bits: int) -> np.ndarray:
-        """Two bits per fingerprint, from its two halves; ``bits`` is a power of two."""
-        mask = np.uint64(bits - 1)
-        return np.stack([(keys >> np.uint64(3)) & mask, (keys >> np.uint64(34)) & mask]).astype(np.int64)
+        """Two bits per fingerprint; ``bits`` is a power of two."""
+        mask, spread = np.uint64(bits - 1), mixed(keys * _MULTIPLIER)
+        return np.stack([spread & mask, (spread >> np.uint64(32)) & mask]).astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         at = self.places(keys, len(self.table) * 8)
@@ -85,8 +85,8 @@ class Named:
 
 
 def _key(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprint of a phrase: its hash, with the number of words less one in the three lowest bits."""
-    return (hashes & ~np.uint64(7)) | np.uint64(size - 1)
+    """Fingerprint of a phrase: 45 bits of its hash and the number of words less one."""
+    return ((hashes >> np.uint64(16)) & ~np.uint64(7)) | np.uint64(size - 1)
 
 
 class _Numbers(dict):
@@ -231,14 +231,16 @@ def count_fingerprints(docs: DataFrame, longest: int, least: int, ranges: int, n
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of a fingerprint by its upper half; ascending with the fingerprint."""
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """Range of a fingerprint by its upper bits; ascending with the fingerprint."""
+    return ((keys >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def count_texts(docs: DataFrame, longest: int, frequent, chunk: int = CHUNK) -> DataFrame:
-    """(lang, size, phrase, n) of the phrases whose fingerprint the broadcast table holds, counted under their text; size 0 holds all words."""
+def count_texts(docs: DataFrame, longest: int, least: int, ranges: int, frequent, chunk: int = CHUNK) -> DataFrame:
+    """(lang, size, phrase, n) of the phrases whose fingerprint the broadcast table holds, counted under their text, with n >= ``least``; size 0
+    holds all words. Chunks send sorted texts packed by ranges of fingerprints."""
+    squeeze, expand = (lambda b: zstandard.ZstdCompressor(level=3).compress(b)), (lambda b: zstandard.ZstdDecompressor().decompress(b))
 
-    def rows(run: _Run, text: pa.Array, size: int) -> pa.RecordBatch:
+    def rows(run: _Run, text: pa.Array, size: int) -> Iterator[tuple]:
         at = np.flatnonzero(frequent.value.held(run.keys[size - 1], _unbroken(run.real, size)))
         # Phrases by the numbers of their words: the number of the phrase so far, then the next word.
         phrase, place = text, run.ids[at]
@@ -246,18 +248,37 @@ def count_texts(docs: DataFrame, longest: int, frequent, chunk: int = CHUNK) ->
             codes, place = np.unique(place * len(text) + run.ids[at + k], return_inverse=True)
             phrase = pc.binary_join_element_wise(phrase.take(pa.array(codes // len(text))), text.take(pa.array(codes % len(text))), b" ")
         n = np.bincount(place, minlength=len(phrase))
+        number = np.zeros(len(phrase), np.int64)
+        number[place] = _range_of(run.keys[size - 1][at], ranges)
         some = np.flatnonzero(n)
-        return _rows(run.lang, size, phrase.take(pa.array(some)), n[some])
+        found = pa.table({"range": number[some], "phrase": phrase.take(pa.array(some)), "n": n[some]}).sort_by([("range", "ascending"), ("phrase", "ascending")])
+        number, n = found["range"].to_numpy(), found["n"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, np.diff(number) != 0]) if len(n) else []
+        for start, end in zip(cuts, [*cuts[1:], len(n)]):
+            yield run.lang, size, int(number[start]), squeeze(b"\n".join(found["phrase"].slice(start, end - start).to_pylist())), squeeze(n[start:end].astype("<i8").tobytes())
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, runs in _runs(batches, longest, chunk, True):
             text = pa.array(words, pa.binary())
             for run in runs:
-                yield _rows(run.lang, 0, pa.array([b""]), np.array([run.real.sum()]))
-                for size in range(1, longest + 1):
-                    yield rows(run, text, size)
-
-    return docs.mapInArrow(task, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+                whole = [(run.lang, 0, 0, squeeze(b""), squeeze(np.array([run.real.sum()], "<i8").tobytes()))]
+                for part in (whole, *(rows(run, text, size) for size in range(1, longest + 1))):
+                    columns = list(zip(*part))
+                    if columns:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                                         names=["lang", "size", "range", "phrases", "n"])
+
+    def add(packed: pa.Table) -> pa.Table:
+        # No phrase holds a line feed: it would have ended the piece.
+        phrases = pa.concat_arrays([pa.array(expand(p.as_py()).split(b"\n"), pa.binary()) for p in packed.column("phrases")])
+        n = np.concatenate([np.frombuffer(expand(c.as_py()), "<i8") for c in packed.column("n")])
+        found = pa.table({"phrase": phrases, "n": n}).group_by("phrase").aggregate([("n", "sum")])
+        size = packed.column("size")[0].as_py()
+        found = found.filter(pc.greater_equal(found["n_sum"], least)) if size else found
+        return _rows(packed.column("lang")[0].as_py(), size, found["phrase"].combine_chunks(), found["n_sum"].to_numpy())
+
+    packed = docs.mapInArrow(count, "lang string, size int, range long, phrases binary, n binary")
+    return packed.groupBy("lang", "size", "range").applyInArrow(add, COUNTS)
 
 
 def _unbroken(real: np.ndarray, size: int) -> np.ndarray:
@@ -267,9 +288,9 @@ def _unbroken(real: np.ndarray, size: int) -> np.ndarray:
     return real
 
 
-def _rows(lang: str, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+def _rows(lang: str, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
     langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32)))
-    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(n), size, np.int32)), phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
+    return pa.Table.from_arrays([langs, pa.array(np.full(len(n), size, np.int32)), phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
 
 
 def bit_table(keys: DataFrame, bits: int) -> Named:
@@ -329,7 +350,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             break
         before, named = shared, Named(named.table | bit_table(failed, size).table)
     frequent = spark.sparkContext.broadcast(bit_table(found, bits(sum(passes))))
-    exact = kept(count_texts(docs, longest, frequent, chunk).filter((F.col("n") >= least) | (F.col("size") == 0)))
+    exact = kept(count_texts(docs, longest, least, ranges, frequent, chunk))
     words = exact.filter(F.col("size") == 0).select("lang", F.col("n").alias("words"))
     return exact.filter(F.col("size") > 0), words, passes
 
