@@ -88,16 +88,19 @@ def run_stamp() -> Column:
     return F.date_format(F.current_timestamp(), "yyyyMMdd-HHmmss")
 
 
+# Published coefficients of Acklam's approximation, for the middle (numerator, denominator) and the tails.
+ACKLAM = (
+    [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00],
+    [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0],
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0],
+)
+ACKLAM_CUT = 0.02425
+
+
 def inverse_normal(p: Column) -> Column:
     """Quantile of the standard normal by Acklam's rational approximation."""
-    # Published coefficients of the approximation.
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
-         1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
-         6.680131188771972e01, -1.328068155288572e01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
-         -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+    a, b, c, d = ACKLAM
 
     def poly(coefs: list[float], x: Column) -> Column:
         out = F.lit(coefs[0])
@@ -105,13 +108,12 @@ def inverse_normal(p: Column) -> Column:
             out = out * x + k
         return out
 
-    cut = 0.02425
     low_t = F.sqrt(F.log(p) * -2.0)
     high_t = F.sqrt(F.log(F.lit(1.0) - p) * -2.0)
     q = p - 0.5
     r = q * q
     return (
-        F.when(p < cut, poly(c, low_t) / poly(d + [1.0], low_t))
-        .when(p > 1 - cut, -poly(c, high_t) / poly(d + [1.0], high_t))
-        .otherwise(poly(a, r) * q / poly(b + [1.0], r))
+        F.when(p < ACKLAM_CUT, poly(c, low_t) / poly(d, low_t))
+        .when(p > 1 - ACKLAM_CUT, -poly(c, high_t) / poly(d, high_t))
+        .otherwise(poly(a, r) * q / poly(b, r))
     )

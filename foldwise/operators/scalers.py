@@ -9,8 +9,6 @@ transform need the rows themselves.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from foldwise.functions.scalar import inverse_normal
 from foldwise.operators.folds import assign_roles, roles_of_bucket
 from foldwise.operators.joins import join_small, single_key
 from foldwise.operators.quantiles import exact_quantiles, fold_quantiles
+from foldwise.operators.ranges import asof_join
 from foldwise.session import settled
 
 STATELESS = {"LogScaler", "IdentityScaler"}
@@ -29,7 +28,7 @@ SCALERS = [
 # Quantile transform grid and output limit.
 N_QUANTILES = 1000
 NORMAL_LIMIT = 5.199337582605575
-QUANTILE_ACCURACY = 20_000
+QUANTILE_GRID = [i / (N_QUANTILES - 1) for i in range(N_QUANTILES)]
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -172,12 +171,14 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
     return per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "p"))).alias("params"))
 
 
-def fit_quantile(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """A thousand quantiles per column from a mergeable sketch (closer than a 10,000-row subsample)."""
-    probs = [i / (N_QUANTILES - 1) for i in range(N_QUANTILES)]
-    return df.groupBy(*by).agg(
-        _params([(c, F.percentile_approx(F.col(c).cast("double"), probs, QUANTILE_ACCURACY)) for c in cols]).alias("params")
-    )
+def _from_grid(q: DataFrame, by: list[str]) -> DataFrame:
+    per = q.groupBy(*by, "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda e: e["value"]).alias("p"))
+    return per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "p"))).alias("params"))
+
+
+def fit_quantile(df: DataFrame, by: list[str], cols: list[str], groups: int | None = None) -> DataFrame:
+    """A thousand exact quantiles of all rows per column, in place of those of a 10,000-row subsample."""
+    return _from_grid(exact_quantiles(df, by, cols, QUANTILE_GRID, groups), by)
 
 
 def fit_scaler(df: DataFrame, by: list[str], cols: list[str], kind: str, groups: int | None = None) -> DataFrame | None:
@@ -189,7 +190,7 @@ def fit_scaler(df: DataFrame, by: list[str], cols: list[str], kind: str, groups:
     if kind == "PowerTransformer":
         return fit_power(df, by, cols, groups)
     if kind == "QuantileTransformer":
-        return fit_quantile(df, by, cols)
+        return fit_quantile(df, by, cols, groups)
     if kind not in AFFINE:
         raise ValueError(f"unknown scaler {kind}")
     return _from_stats(_column_stats(df, by, cols), by, cols, kind)
@@ -208,27 +209,34 @@ def fit_fold_scaler(df: DataFrame, cols: list[str], kind: str, role: str = "trai
         return _from_stats(_merge_stats(roled, ["fold"], cols), ["fold"], cols, kind)
     if kind == "RobustScaler":
         return _from_quantiles(fold_quantiles(df, cols, QUARTILES, role, bucket, k), ["fold"])
+    if kind == "QuantileTransformer":
+        return _from_grid(fold_quantiles(df, cols, QUANTILE_GRID, role, bucket, k), ["fold"])
     rows = assign_roles(df.select(bucket, *cols), bucket, k, [role])
     return fit_scaler(rows, ["fold"], cols, kind, groups=k)
 
 
-def _interpolator(tables: dict[tuple, np.ndarray], n_by: int):
-    """Vectorised position of a value among the quantiles of its group, ties at their middle."""
-
-    @F.pandas_udf("double")
-    def share(x: pd.Series, *by: pd.Series) -> pd.Series:
-        out = np.full(len(x), np.nan)
-        groups = pd.DataFrame({i: b for i, b in enumerate(by)}) if n_by else None
-        parts = groups.groupby(list(range(n_by)), sort=False).indices.items() if n_by else [((), np.arange(len(x)))]
-        values = x.to_numpy()
-        for key, rows in parts:
-            q = tables[tuple(np.atleast_1d(key).tolist()) if n_by else ()]
-            r = np.linspace(0, 1, len(q))
-            v = values[rows]
-            out[rows] = 0.5 * (np.interp(v, q, r) - np.interp(-v, -q[::-1], -r[::-1]))
-        return pd.Series(out)
-
-    return share
+def _quantile_shares(df: DataFrame, params: DataFrame, by: list[str], cols: list[str], groups: int | None) -> DataFrame:
+    """Position of each value among the quantiles of its group, linear between them, ties at their middle; an as-of join per column."""
+    key = [] if by else ["_one"]
+    grid = params.select(*by, *[F.lit(0).alias(k) for k in key], F.explode("params").alias("_c", "_q"))
+    entries = grid.select(*by, *key, "_c", (F.size("_q") - 1).alias("last"), F.posexplode("_q").alias("i", "q")).groupBy(*by, *key, "_c", "last", "q").agg(
+        F.min("i").alias("first"), F.max("i").alias("end")
+    )
+    w = Window.partitionBy(*by, *key, "_c").orderBy("q")
+    bound = (groups if by else 1) and (groups if by else 1) * len(cols) * N_QUANTILES
+    entries = settled(entries.withColumns({"next": F.lead("q").over(w)}), bound)
+    out = df.withColumns({k: F.lit(0) for k in key})
+    for c in cols:
+        x, e = F.col(c).cast("double"), F.col("_entry")
+        out = asof_join(out, entries.filter(F.col("_c") == c).drop("_c"), [*by, *key], c, "q", "_entry", None if bound is None else bound // len(cols))
+        share = (
+            F.when(x.isNull() | F.isnan(x), x).when(e.isNull(), 0.0)
+            .when(x == e["q"], (e["first"] + e["end"]) / 2 / e["last"])
+            .when(e["next"].isNull(), 1.0)
+            .otherwise((e["end"] + (x - e["q"]) / (e["next"] - e["q"])) / e["last"])
+        )
+        out = out.withColumn(c, share).drop("_entry")
+    return out.drop(*key)
 
 
 def apply_scaler(df: DataFrame, params: DataFrame | None, by: list[str], cols: list[str], kind: str,
@@ -239,15 +247,14 @@ def apply_scaler(df: DataFrame, params: DataFrame | None, by: list[str], cols: l
     if kind == "LogScaler":
         return df.withColumns({c: F.log1p(F.col(c).cast("double")) for c in cols})
     if kind == "QuantileTransformer":
-        rows = params.collect()
         edge = 1e-7
-        out = {}
-        for c in cols:
-            tables = {tuple(r[b] for b in by): np.asarray(r["params"][c]) for r in rows}
-            p = _interpolator(tables, len(by))(F.col(c).cast("double"), *[F.col(b) for b in by])
-            z = inverse_normal(F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge)))
-            out[c] = F.least(F.greatest(z, F.lit(-NORMAL_LIMIT)), F.lit(NORMAL_LIMIT))
-        return df.withColumns(out)
+
+        def normal(c: str) -> Column:
+            z = inverse_normal(F.least(F.greatest(F.col(c), F.lit(edge)), F.lit(1 - edge)))
+            return F.when(F.isnan(c), F.col(c)).otherwise(F.least(F.greatest(z, F.lit(-NORMAL_LIMIT)), F.lit(NORMAL_LIMIT)))
+
+        shares = _quantile_shares(df, params, by, cols, groups).withColumns({c: F.when(F.col(c).isNotNull(), normal(c)) for c in cols})
+        return shares.select(*df.columns)
     if by:
         joined = join_small(df, params, by, "inner", groups)
     else:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise import constants as K
 from foldwise.operators import linear
+from foldwise.operators.folds import assign_roles
 from foldwise.operators.grid import linear_grid
+from foldwise.operators.joins import join_small
 from foldwise.operators.moments import fold_sums
 from foldwise.operators.selection import best_params, rank_alphas
 from foldwise.operators.trees import assembled
@@ -253,18 +256,89 @@ def _gradient(spark: SparkSession, d: str) -> DataFrame:
     return search.gradient_search(_assembled(spark, d, tree=False), "lasso", grid, FOLDS)
 
 
-@query("boosted_cv")
+# Rounds, depth and step of the registered search; the other ten ranges are those of the wide search.
+TRIALS = 4
+BOOSTED_SPACE = [{"n_estimators": ("n_estimators", 10.0, 40.0, False, True), "max_depth": ("max_depth", 2.0, 5.0, False, True),
+                  "learning_rate": ("learning_rate", 0.05, 1.0, True, False)}.get(r[0], r) for r in K.BOOSTED_SPACE]
+TREE_FEATURES = [*LINE_FEATURES, "annotation_score", "protein_existence"]
+
+
+def _boosted(spark: SparkSession, d: str) -> tuple:
+    df = points(spark, d, heavy=True).select("bucket", "y", *TREE_FEATURES)
+    return df, search.trial_search(df, TREE_FEATURES, "y", TRIALS, k=FOLDS, space=BOOSTED_SPACE)
+
+
+def _cell_r2(role: str, other: str) -> str:
+    """SQL: R2 on ``other`` rows of predicting the mean label of the row's cell (three by three, cut at even steps) in the ``role`` rows of its fold."""
+    cell = "least(2, CAST(floor(x1 / 50e0 * 3) AS INT)) * 3 + least(2, CAST(floor(x2 / 105e3 * 3) AS INT))"
+    return f"""cells AS (SELECT fold, {cell} AS cell, avg(y) AS m FROM pts JOIN roles USING (bucket) WHERE role = '{role}' GROUP BY ALL),
+whole AS (SELECT fold, avg(y) AS m FROM pts JOIN roles USING (bucket) WHERE role = '{other}' GROUP BY fold),
+bound AS (SELECT p.fold, 1 - sum((y - coalesce(c.m, w.m)) * (y - coalesce(c.m, w.m))) / sum((y - w.m) * (y - w.m)) AS r2
+  FROM (SELECT fold, y, {cell} AS cell FROM pts JOIN roles USING (bucket) WHERE role = '{other}') p JOIN whole w ON w.fold = p.fold LEFT JOIN cells c ON c.fold = p.fold AND c.cell = p.cell GROUP BY p.fold)"""
+
+
+def _cell_bound(df: DataFrame, role: str, other: str) -> DataFrame:
+    """(fold, bound): the same by Spark."""
+    def step(c: str, top: float) -> Column:
+        return F.least(F.lit(2), F.floor(F.col(c) / top * 3).cast("int"))
+
+    rows = assign_roles(df.withColumn("_cell", step("x1", 50.0) * 3 + step("x2", 105000.0)), "bucket", FOLDS, [role, other])
+    cells = rows.filter(F.col("role") == role).groupBy("fold", "_cell").agg(F.avg("y").alias("_m"))
+    held = rows.filter(F.col("role") == other)
+    whole = held.groupBy("fold").agg(F.avg("y").alias("_w"))
+    off = F.coalesce("_m", "_w") - F.col("y")
+    joined = join_small(join_small(held, cells, ["fold", "_cell"], "left", FOLDS * 9), whole, ["fold"], "inner", FOLDS)
+    return joined.groupBy("fold").agg((1 - F.sum(off * off) / F.sum((F.col("y") - F.col("_w")) ** 2)).alias("bound"))
+
+
+@query("boosted_cv", f"""WITH {PTS}, {ROLES}, {_cell_r2("train", "val")}
+SELECT fold, round(r2, 6) AS bound, CAST({TRIALS} AS BIGINT) AS trials, CAST(0 AS BIGINT) AS failed, TRUE AS trees_do_better FROM bound""")
 def boosted_cv(spark: SparkSession, d: str) -> DataFrame:
-    return search.trial_search(_assembled(spark, d), spark, 1, k=FOLDS, limits={"n_estimators": (5, 5), "max_depth": (2, 4), "learning_rate": (0.1, 1.0)}).drop("params", "seconds")
+    """Several drawn trials per fold: does the best one beat the means of the cells of a plain grid on the validation rows?"""
+    df, (table, _, _) = _boosted(spark, d)
+    best = table.groupBy("fold").agg(F.max("val_r2").alias("_best"), F.count("*").alias("trials"), F.count("failed").alias("failed"))
+    return join_small(best, _cell_bound(df, "train", "val"), ["fold"], "inner", FOLDS).select(
+        "fold", F.round("bound", 6).alias("bound"), "trials", "failed", (F.col("_best") > F.col("bound")).alias("trees_do_better"))
+
+
+@query("boosted_trials")
+def _boosted_trials(spark: SparkSession, d: str) -> DataFrame:
+    return _boosted(spark, d)[1][0]
+
+
+@query("refit_boosted", f"""WITH {PTS}, {ROLES}, {_cell_r2("train_val", "test")}
+SELECT fold, round(r2, 6) AS bound, TRUE AS trees_do_better FROM bound""")
+def _refit_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """The best trial of each fold, grown again on train plus validation rows, on the test rows."""
+    df, (table, machines, _) = _boosted(spark, d)
+    tested, _, _ = search.refit_boosters(df, TREE_FEATURES, "y", table, machines, k=FOLDS)
+    return join_small(tested, _cell_bound(df, "train_val", "test"), ["fold"], "inner", FOLDS).select(
+        "fold", F.round("bound", 6).alias("bound"), (F.col("test_r2") > F.col("bound")).alias("trees_do_better"))
+
+
+SVR_GRID = [{"param_key": f"svr_hp_{i}", "C": c, "epsilon": e} for i, (c, e) in enumerate([(c, e) for c in (0.001, 0.1, 1.0) for e in (0.01, 0.1)], 1)]
+RBF_GRID = [{"param_key": f"svr_hp_{i}", "kernel": "rbf", "gamma": g, "C": 1.0, "epsilon": 0.01} for i, g in enumerate(("scale", 0.05), 1)]
 
 
 @query("svr_linear")
 def svr_linear(spark: SparkSession, d: str) -> DataFrame:
-    grid = [{"param_key": "svr_hp_1", "C": 1.0, "epsilon": 0.01}, {"param_key": "svr_hp_2", "C": 0.001, "epsilon": 0.1}]
-    return search.svr_search(points(spark, d, heavy=True), LINE_FEATURES, "y", grid, k=FOLDS)
+    return search.svr_search(points(spark, d, heavy=True), LINE_FEATURES, "y", SVR_GRID, k=FOLDS)
 
 
 @query("svr_rbf")
 def _svr_rbf(spark: SparkSession, d: str) -> DataFrame:
-    grid = [{"param_key": "svr_hp_1", "kernel": "rbf", "gamma": "scale", "C": 1.0, "epsilon": 0.01}]
-    return search.svr_search(points(spark, d, heavy=True), LINE_FEATURES, "y", grid, k=FOLDS, size=48)
+    return search.svr_search(points(spark, d, heavy=True), LINE_FEATURES, "y", RBF_GRID, k=FOLDS)
+
+
+@query("svr_against_line", f"""WITH {PTS}, {ROLES}, {MOMENTS}, r AS (SELECT r.fold, 1 - sum((y - my - c / v * (x1 - mx)) ** 2) / (var_pop(y) * count(*)) AS r2
+  FROM pts JOIN roles r USING (bucket) JOIN mom m ON m.fold = r.fold WHERE r.role = 'val' GROUP BY r.fold)
+SELECT fold, CAST({len(SVR_GRID)} AS BIGINT) AS machines, CAST({len(SVR_GRID)} AS BIGINT) AS converged, TRUE AS better_than_one_feature FROM r WHERE r2 < 1""")
+def _svr_against_line(spark: SparkSession, d: str) -> DataFrame:
+    """Does every machine reach its tolerance, and the best one of each fold do better on the validation rows than least squares on one feature?"""
+    stats = svr_linear(spark, d)
+    best = stats.groupBy("fold").agg(F.count("*").alias("machines"), F.count_if(~F.isnan("val_r2")).alias("converged"), F.max(F.nanvl("val_r2", F.lit(-1.0))).alias("_best"))
+    roled = assign_roles(points(spark, d).select("bucket", "x1", "y"), "bucket", FOLDS, ["train", "val"])
+    line = roled.filter("role = 'train'").groupBy("fold").agg(F.regr_slope("y", "x1").alias("_b"), F.regr_intercept("y", "x1").alias("_a"))
+    off = F.col("y") - F.col("_a") - F.col("_b") * F.col("x1")
+    one = join_small(roled.filter("role = 'val'"), line, ["fold"], "inner", FOLDS).groupBy("fold").agg((1 - F.sum(off * off) / (F.var_pop("y") * F.count("*"))).alias("r2"))
+    return join_small(best, one, ["fold"], "inner", FOLDS).select("fold", "machines", "converged", (F.col("_best") > F.col("r2")).alias("better_than_one_feature"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalar import inverse_normal
+from foldwise.functions.scalar import ACKLAM, ACKLAM_CUT, inverse_normal
 from foldwise.operators.quantiles import exact_quantiles
-from foldwise.operators.scalers import fit_power, scale_folds, yeo_johnson
+from foldwise.operators.scalers import NORMAL_LIMIT, QUANTILE_GRID, fit_power, scale_folds, yeo_johnson
 from foldwise.plans.catalog.registry import query
 from foldwise.plans.fixtures import EDGES, FOLDS, PTS, ROLES, binned, points
 from foldwise.plans.scaler_study import scale_weighted, scaler_study, study_winners
@@ -115,15 +115,44 @@ def _lambdas(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("quantile_transform")
+def _normal_sql(p: str) -> str:
+    """SQL: quantile of the standard normal at a column ``p``."""
+    def poly(coefs: list[float], x: str) -> str:
+        out = f"{coefs[0]:.17e}"
+        for k in coefs[1:]:
+            out = f"({out} * {x} + {k:.17e})"
+        return out
+
+    a, b, c, e = ACKLAM
+    low, high, r = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"(({p} - 5e-1) * ({p} - 5e-1))"
+    return (f"CASE WHEN {p} < {ACKLAM_CUT} THEN {poly(c, low)} / {poly(e, low)} WHEN {p} > 1 - {ACKLAM_CUT} THEN -{poly(c, high)} / {poly(e, high)} "
+            f"ELSE {poly(a, r)} * ({p} - 5e-1) / {poly(b, r)} END")
+
+
+def _quantile_sql() -> str:
+    """SQL: a thousand exact quantiles per fold, and validation rows placed among them by an as-of join per column."""
+    probs = ", ".join(f"{q:.17e}" for q in QUANTILE_GRID)
+    parts = [f"WITH {_TRAIN}"]
+    for c in SCALED:
+        parts.append(f"""q_{c} AS (SELECT fold, q, min(i) AS a, max(i) AS z, lead(q) OVER (PARTITION BY fold ORDER BY q) AS nx FROM (
+  SELECT fold, unnest(qs) AS q, unnest(range(1000)) AS i FROM (SELECT fold, quantile_cont({c}, [{probs}]) AS qs FROM tr GROUP BY fold)) GROUP BY fold, q),
+p_{c} AS (SELECT va.fold, row_key, greatest(1e-7, least(1 - 1e-7, CASE WHEN q IS NULL THEN 0e0 WHEN {c} = q THEN (a + z) / 2e0 / 999e0 WHEN nx IS NULL THEN 1e0
+  ELSE (z + ({c} - q) / (nx - q)) / 999e0 END)) AS p FROM va ASOF LEFT JOIN q_{c} ON va.fold = q_{c}.fold AND va.{c} >= q_{c}.q),
+z_{c} AS (SELECT fold, row_key, greatest(-{NORMAL_LIMIT}, least({NORMAL_LIMIT}, {_normal_sql("p")})) AS z FROM p_{c})""")
+    joined = " ".join(f"JOIN z_{c} USING (fold, row_key)" for c in SCALED[1:])
+    cols = ", ".join(f"round(z_{c}.z, 6) + 0e0 AS {c}" for c in SCALED)
+    return f"{', '.join(parts)} SELECT fold, row_key, {cols} FROM z_{SCALED[0]} {joined}"
+
+
+@query("quantile_transform", _quantile_sql())
 def quantile_transform(spark: SparkSession, d: str) -> DataFrame:
-    df = points(spark, d).select("row_key", "bucket", *SCALED)
-    return scale_folds(df, SCALED, ["QuantileTransformer"], ["val"], "train", "bucket", FOLDS).select("fold", "row_key", *SCALED)
+    return _scaled(spark, d, ["QuantileTransformer"])
 
 
-@query("inverse_normal")
+@query("inverse_normal", f"WITH {PTS}, c AS (SELECT row_key, greatest(1e-7, least(1 - 1e-7, y)) AS p FROM pts) SELECT row_key, round({_normal_sql('p')}, 8) + 0e0 AS z FROM c")
 def _inverse(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).select("row_key", inverse_normal(F.least(F.greatest("y", F.lit(1e-7)), F.lit(1 - 1e-7))).alias("z"))
+    z = inverse_normal(F.least(F.greatest("y", F.lit(1e-7)), F.lit(1 - 1e-7)))
+    return points(spark, d).select("row_key", (F.round(z, 8) + 0.0).alias("z"))
 
 
 @query("scaler_study")

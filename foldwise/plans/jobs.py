@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from foldwise import constants as K
 from foldwise.operators.cleaning import drop_ids, force_double, harmonise_types
 from foldwise.operators.grid import json_grid, linear_grid, random_search, with_default
+from foldwise.operators.boosting import model_table
 from foldwise.operators.linear import grid_stats
 from foldwise.operators.metrics import bin_moments, score
 from foldwise.operators.moments import split_sums
 from foldwise.operators.network import network_report
 from foldwise.operators.sampling import make_variants
-from foldwise.operators.selection import best_params
-from foldwise.operators.svr import fit_machines, score_machines
+from foldwise.operators.selection import best_params, top1_trial
+from foldwise.operators.svr import fit_machines, machine_table, score_machines
 from foldwise.operators.trees import assembled, forest
 from foldwise.operators.weights import training_weights
 from foldwise.plans import search
@@ -115,19 +116,34 @@ def forest_job(spark: SparkSession, folds: str, out: str, variant: str, features
 
 
 def svr_job(spark: SparkSession, folds: str, out: str, variant: str, features: list[str], grid: list[dict],
-            label: str = K.LABEL, k: int = 5, size: int = 64) -> None:
-    """Support-vector search on train and val, refit of each fold's winner on train_val, test scores."""
+            label: str = K.LABEL, k: int = 5, size: int = 64, seeds: dict[int, dict] | None = None) -> None:
+    """Support-vector search on train and val, each fold's winner fitted again on train_val, test scores; the machines are stored.
+
+    ``seeds`` takes each fold's earlier winner into a second round as ``svr_hp__1``.
+    """
     rows = read_folds(spark, folds, variant, ["train", "val", "train_val", "test"])
-    sums = split_sums(rows, features, label, k, role="role")
-    machines, maps, _ = fit_machines(rows, features, label, grid, sums, "train", size=size)
-    write_table(score_machines(rows, features, label, machines, maps, "svr", k), f"{out}/stats")
+    write_table(search.svr_search(rows, features, label, grid, k=k, size=size, seeds=seeds), f"{out}/stats")
     best = best_params(spark.read.parquet(f"{out}/stats"), ["model", "fold"])
     write_table(best, f"{out}/best_params")
-    won = {(r["fold"], r["param_key"]) for r in best.collect()}
-    keys = {key for _, key in won}
-    again, maps, _ = fit_machines(rows, features, label, [g for g in grid if g["param_key"] in keys], sums, "train_val", size=size)
-    tested = search.as_test(score_machines(rows, features, label, again, maps, "svr", k, "train_val", "test"))
-    write_table(tested.join(F.broadcast(best.select("fold", "param_key")), ["fold", "param_key"], "left_semi"), f"{out}/test_stats")
+    sets = {g["param_key"]: g for g in grid}
+    won = {r["fold"]: r["param_key"] for r in best.filter("param_key IS NOT NULL").collect()}
+    chosen = {f: [sets[key] if key in sets else {**seeds[f], "param_key": key}] for f, key in won.items()}
+    again, maps = fit_machines(rows, features, label, chosen, "train_val", k, size=size)
+    write_table(search.as_test(score_machines(rows, features, label, again, maps, "svr", k, "train_val", "test")), f"{out}/test_stats")
+    write_table(machine_table(spark, again, features, maps), f"{out}/models")
+
+
+def boosted_job(spark: SparkSession, folds: str, out: str, variant: str, features: list[str], trials: int, label: str = K.LABEL, k: int = 5, seed: int = 42,
+                space: list[tuple[str, float, float, bool, bool]] | None = None, seconds: float | None = None) -> None:
+    """Drawn boosted trials on train and val, each fold's best trial grown again on train_val, test scores; the trees are stored node by node."""
+    rows = read_folds(spark, folds, variant, ["train", "val", "train_val", "test"])
+    table, machines, _ = search.trial_search(rows, features, label, trials, seed, k, space=space, seconds=seconds)
+    write_table(table, f"{out}/trials")
+    trials_table = spark.read.parquet(f"{out}/trials")
+    write_table(top1_trial(trials_table, ["fold"], "weighted_val_r2", ["trial"]), f"{out}/best_trials")
+    tested, again, edges = search.refit_boosters(rows, features, label, trials_table, machines, seed, k)
+    write_table(tested, f"{out}/test_stats")
+    write_table(model_table(spark, again, edges, features), f"{out}/models", ["fold"])
 
 
 def weights_job(spark: SparkSession, folds: str, out: str, variant: str, label: str = K.LABEL, k: int = 5) -> None:

@@ -5,18 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise import constants as K
+from foldwise.operators.boosting import BINS, Booster, fit_boosters, score_boosters
 from foldwise.operators.grid import alpha_sweep_values, draw_space, fold_grid, resolve_params
 from foldwise.operators.linear import grid_stats
-from foldwise.operators.metrics import fold_stats, metrics
 from foldwise.operators.moments import FoldSums, fold_sums
-from foldwise.operators.selection import best_params
+from foldwise.operators.selection import best_params, top1_trial
 from foldwise.operators.svr import fit_machines, score_machines
-from foldwise.operators.trees import forest, gradient_linear, model_moments, stopped_boosting, sweep
+from foldwise.operators.trees import forest, gradient_linear, sweep
 
 
 def linear_grid_search(df: DataFrame | None, features: list[str], label: str, grid: DataFrame, scaler: str = "StandardScaler",
@@ -92,43 +92,58 @@ def gradient_search(data: DataFrame, model: str, grid: list[dict], k: int = 5, p
     return sweep(data, model, grid, make, k, parallelism=parallelism, trial=lambda p: make(p, trial_epochs))
 
 
-def trial_search(data: DataFrame, spark: SparkSession, trials: int, seed: int = 42, k: int = 5, folds: list[int] | None = None,
-                 limits: dict[str, tuple[float, float]] | None = None, seconds: float | None = None) -> DataFrame:
-    """Random search for boosted trees under a trial budget, optionally a time budget per fold.
+def drawn_trials(spark: SparkSession, trials: int, seed: int = 42, k: int = 5, folds: list[int] | None = None,
+                 space: list[tuple[str, float, float, bool, bool]] | None = None) -> dict[int, list[dict]]:
+    """Per fold, ``trials`` points of a search space as drawn."""
+    points = spark.range(trials).withColumnRenamed("id", "trial").withColumn("fold", F.explode(F.array(*[F.lit(f) for f in (folds if folds is not None else range(k))])))
+    out: dict[int, list[dict]] = {}
+    for r in draw_space(points, ["fold", "trial"], seed, space).orderBy("fold", "trial").collect():
+        out.setdefault(r["fold"], []).append({n: v for n, v in r.asDict().items() if n not in ("trial", "fold")} | {"param_key": f"boosted_hp_{r['trial'] + 1}"})
+    return out
 
-    Returns one row per (fold, trial) with its eight metrics, the trees kept by early
-    stopping and the drawn parameters. ``limits`` clamps drawn values to bound the cost.
+
+def trial_search(df: DataFrame, features: list[str], label: str, trials: int, seed: int = 42, k: int = 5, folds: list[int] | None = None,
+                 space: list[tuple[str, float, float, bool, bool]] | None = None, seconds: float | None = None, bucket: str = "bucket",
+                 bins: int = BINS) -> tuple[DataFrame, list[Booster], list[np.ndarray]]:
+    """Random search for boosted trees: ``trials`` drawn points per fold, all growing together, each until 50 rounds after its best one.
+
+    Gives one row per (fold, trial) with validation loss, kept trees, eight metrics, the reason of a failure (its metrics are NaN) and the drawn values,
+    and the grown machines with their bin edges. After ``seconds`` growth ends with the rounds there are.
     """
-    rows = []
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    for fold in folds if folds is not None else range(k):
-        started = time.time()
-        drawn = draw_space(spark.range(trials).withColumnRenamed("id", "trial").withColumn("fold", F.lit(fold)), ["fold", "trial"], seed)
-        for r in drawn.orderBy("trial").collect():
-            if seconds is not None and time.time() - started > seconds:
-                break
-            params = {n: v for n, v in r.asDict().items() if n not in ("trial", "fold")}
-            for n, (low, high) in (limits or {}).items():
-                params[n] = min(max(params[n], low), high)
-            clock = time.time()
-            model, kept = stopped_boosting(data, fold, k, params, seed)
-            table = metrics(model_moments(model, data, fold, k, ["train", "val"]), ["role"])
-            stats = fold_stats(table.withColumn("fold", F.lit(fold)), ["fold"]).first().asDict()
-            rows.append((fold, int(r["trial"]), "boosted", 1.0 - stats["val_r2"], time.time() - clock, kept,
-                         *[stats[c] for c in _STATS], {n: float(v) for n, v in params.items()}))
-    data.unpersist()
-    cols = ", ".join(f"{c} double" for c in _STATS)
-    return spark.createDataFrame(
-        rows, f"fold int, trial int, estimator string, val_loss double, seconds double, trees int, {cols}, params map<string,double>"
-    )
+    drawn = drawn_trials(df.sparkSession, trials, seed, k, folds, space)
+    deadline = None if seconds is None else time.time() + seconds
+    machines, edges = fit_boosters(df, features, label, drawn, k=k, folds=sorted(drawn), bucket=bucket, bins=bins, seed=seed, deadline=deadline)
+    values = {(f, p["param_key"]): {n: float(v) for n, v in p.items() if n != "param_key"} for f, points in drawn.items() for p in points}
+    rows = [(m.fold, m.key, int(m.key.rsplit("_", 1)[1]) - 1, m.best if not m.failed else None, len(m.trees), m.failed, values[(m.fold, m.key)]) for m in machines]
+    fits = df.sparkSession.createDataFrame(rows, "fold int, param_key string, trial int, trees int, rounds int, failed string, params map<string,double>")
+    stats = score_boosters(df, features, label, machines, edges, k=k, bucket=bucket)
+    table = stats.join(F.broadcast(fits), ["fold", "param_key"]).withColumn("val_loss", 1.0 - F.col("val_r2"))
+    return table.select("fold", "trial", "model", "param_key", "val_loss", "trees", "rounds", "failed", *_STATS, "params"), machines, edges
+
+
+def refit_boosters(df: DataFrame, features: list[str], label: str, stats: DataFrame, machines: list[Booster], seed: int = 42, k: int = 5,
+                   bucket: str = "bucket", bins: int = BINS) -> tuple[DataFrame, list[Booster], list[np.ndarray]]:
+    """Each fold's best trial by weighted validation R2 grown again on train plus validation rows, as many trees as it kept, and scored on the test rows."""
+    best = top1_trial(stats, ["fold"], "weighted_val_r2", ["trial"]).filter(~F.isnan("weighted_val_r2")).select("fold", "param_key").collect()
+    kept = {(m.fold, m.key): m for m in machines}
+    chosen = {}
+    for r in best:
+        m = kept[(r["fold"], r["param_key"])]
+        chosen[r["fold"]] = [{**m.params, "n_estimators": max(m.best, 1), "param_key": m.key}]
+    again, edges = fit_boosters(df, features, label, chosen, "train_val", None, k, sorted(chosen), bucket, bins, seed)
+    return as_test(score_boosters(df, features, label, again, edges, "boosted", k, "train_val", "test", bucket)), again, edges
 
 
 _STATS = [f"{w}{side}_{m}" for side in ("train", "val") for w, m in (("weighted_", "mse"), ("weighted_", "r2"), ("", "mse"), ("", "r2"))]
 
 
-def svr_search(df: DataFrame, features: list[str], label: str, grid: list[dict], bucket: str = "bucket", k: int = 5,
-               sums: FoldSums | None = None, size: int = 64, seed: int = 42, train: str = "train", val: str = "val") -> DataFrame:
-    """Support-vector cross-validation: all folds and parameter sets advance together, scan by scan."""
-    sums = sums or fold_sums(df, features, label, bucket, k)
-    machines, maps, _ = fit_machines(df, features, label, grid, sums, train, bucket, seed, size)
+def svr_search(df: DataFrame, features: list[str], label: str, grid: list[dict] | dict[int, list[dict]], bucket: str = "bucket", k: int = 5,
+               size: int = 64, seed: int = 42, train: str = "train", val: str = "val", seeds: dict[int, dict] | None = None) -> DataFrame:
+    """Support-vector cross-validation: all folds and parameter sets advance together, scan by scan, each to its own tolerance.
+
+    ``seeds`` adds each fold's earlier winner as ``svr_hp__1``. Machines that fail or do not converge are rows of NaN.
+    """
+    if seeds:
+        grid = {f: [*grid, {**seeds[f], "param_key": "svr_hp__1"}] if f in seeds else list(grid) for f in range(k)}
+    machines, maps = fit_machines(df, features, label, grid, train, k, bucket, seed, size)
     return score_machines(df, features, label, machines, maps, "svr", k, train, val, bucket)

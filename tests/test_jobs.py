@@ -95,6 +95,19 @@ def test_support_vectors(spark, stored):
     assert read(spark, f"{stored}/svr/stats").count() == 10
     tested = read(spark, f"{stored}/svr/test_stats")
     assert tested.count() == 5 and tested.agg(F.min("test_r2")).first()[0] > 0.9
+    assert read(spark, f"{stored}/svr/models").filter("size(weights) = 33").count() == 5
+
+
+def test_boosted(spark, stored):
+    space = [("learning_rate", 0.3, 0.9, True, False), ("n_estimators", 5.0, 9.0, False, True), ("max_depth", 3.0, 4.0, False, True)]
+    jobs.boosted_job(spark, f"{stored}/folds", f"{stored}/boosted", "A", FEATURES, 2, space=space)
+    trials = read(spark, f"{stored}/boosted/trials")
+    assert trials.count() == 10 and trials.filter("failed IS NOT NULL").count() == 0
+    best = {r["fold"]: r for r in read(spark, f"{stored}/boosted/best_trials").collect()}
+    tested = {r["fold"]: r for r in read(spark, f"{stored}/boosted/test_stats").collect()}
+    assert set(tested) == set(best) == set(range(5)) and all(tested[f]["param_key"] == best[f]["param_key"] and tested[f]["test_r2"] > 0.7 for f in best)
+    kept = {r["fold"]: r["n"] for r in read(spark, f"{stored}/boosted/models").groupBy("fold").agg(F.countDistinct("tree").alias("n")).collect()}
+    assert kept == {f: best[f]["trees"] for f in best}
 
 
 def test_network(spark, rows, stored):

@@ -15,15 +15,15 @@ from foldwise.plans.scaler_study import MODELS, scaler_study, study_winners
 PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
 
-def quantiles(spark, values, cells=4096):
+def quantiles(spark, values, bits=12):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    return {r["prob"]: r["value"] for r in exact_quantiles(df, [], ["x"], PROBS, cells=cells).collect()}
+    return {r["prob"]: r["value"] for r in exact_quantiles(df, [], ["x"], PROBS, bits=bits).collect()}
 
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.floats(-1e12, 1e12), min_size=1, max_size=80))
 def test_quantiles_equal_numpy(spark, values):
-    got = quantiles(spark, values, cells=4)
+    got = quantiles(spark, values, bits=5)
     for p in PROBS:
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-6)
 
@@ -31,7 +31,7 @@ def test_quantiles_equal_numpy(spark, values):
 def test_quantiles_with_a_hot_value(spark):
     rng = np.random.default_rng(0)
     values = np.concatenate([np.full(500, 3.0), rng.lognormal(0, 4, 1000)])
-    got = quantiles(spark, values, cells=16)
+    got = quantiles(spark, values, bits=8)
     for p in PROBS:
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-9)
 
