@@ -1,9 +1,9 @@
 """Exact quantiles by radix selection on order-preserving keys.
 
 ``percentile`` keeps every distinct value of a group in one task. Here a value is a 64-bit key that sorts as the value does
-(`functions.bits.order_key`). A pass counts rows per (group, next ``BITS`` bits of the key) inside the cells that hold a wanted rank; the
+(`functions.bits.with_order_key`). A pass counts rows per (group, next ``BITS`` bits of the key) inside the cells that hold a wanted rank; the
 counts name the finer cell of each rank, and the next pass reads only rows of such cells, until every wanted cell holds a single value. That
-takes six passes at most whatever the range of the values, infinities included. Cells are shared by all groups, so a fold's ranks follow
+takes four passes at most whatever the range of the values, infinities included. Cells are shared by all groups, so a fold's ranks follow
 from bucket counts and no row is repeated per fold. A pass is one scan with partial aggregation and one lookup of the wanted
 cells; no group is gathered anywhere, and a value held by a third of all rows is one cell.
 """
@@ -16,13 +16,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.bits import KEY_BITS, order_key
+from foldwise.functions.bits import KEY_BITS, with_order_key
 from foldwise.functions.scalar import nan_to_null
 from foldwise.operators.folds import roles_of_bucket
 from foldwise.operators.joins import join_small
 from foldwise.session import settled
+from foldwise.sources.tables import spread
 
-BITS = 12
+BITS = 16
 
 
 def exact_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: list[float],
@@ -53,7 +54,7 @@ def _cell(depth: int, bits: int) -> Column:
 def _quantiles(df: DataFrame, row_by: list[str], by: list[str], cols: list[str], probs: list[float],
                regroup: Callable[[DataFrame], DataFrame], groups: int | None, bits: int) -> DataFrame:
     values = F.array(*[F.struct(F.lit(i).alias("c"), nan_to_null(F.col(c).cast("double")).alias("x")) for i, c in enumerate(cols)])
-    rows = df.select(*row_by, F.inline(values)).filter(F.col("x").isNotNull()).withColumn("key", order_key(F.col("x")))
+    rows = with_order_key(spread(df.select(*row_by, *cols)).select(*row_by, F.inline(values)).filter(F.col("x").isNotNull()), F.col("x"), "key")
     # Read once per pass; lost blocks are computed again from the source.
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -103,7 +104,7 @@ def _selected(rows: DataFrame, row_by: list[str], by: list[str], probs: list[flo
             done = state.filter("lo >= hi")
         state = _held(cells, asked, keys)
         state = settled(state if done is None else done.unionByName(state), most)
-        if depth * bits >= KEY_BITS or state.filter("lo < hi").isEmpty():
+        if depth * bits >= KEY_BITS or state.select(F.bool_and(F.col("lo") >= F.col("hi"))).first()[0] is not False:
             return ends, state.select(*by, "c", "rank", "v")
         depth += 1
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.functions.bits import KEY_BITS, order_key
+from foldwise.functions.bits import KEY_BITS, with_order_key
 from foldwise.operators.joins import join_small
 from foldwise.session import settled
 
@@ -47,9 +47,8 @@ def asof_join(rows: DataFrame, table: DataFrame, by: list[str], value: str, key:
     Rows with a null or NaN value get null. Rows of a group without entries are left out.
     """
     others = [c for c in table.columns if c not in by]
-    numbered = table.filter(order_key(F.col(key).cast("double")).isNotNull()).select(
-        *by, order_key(F.col(key).cast("double")).alias("_k"), F.struct(*others).alias("_entry")
-    ).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_k")) - 1)
+    numbered = with_order_key(table, F.col(key), "_k").filter(F.col("_k").isNotNull()).select(*by, "_k", F.struct(*others).alias("_entry")).withColumn(
+        "_i", F.row_number().over(Window.partitionBy(*by).orderBy("_k")) - 1)
     # A few leaves per entry; the bound holds for keys that part within their first bits, the usual case, and is checked by count.
     entries = settled(numbered, max_rows)
     fields = [f for f in entries.schema.fields if f.name in by]
@@ -68,7 +67,7 @@ def asof_join(rows: DataFrame, table: DataFrame, by: list[str], value: str, key:
     held = held.groupBy(*by, "_depth", "_prefix").agg(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_entry"))).alias("_held"))
     held = settled(held, None if max_rows is None else max_rows * 8)
     depths = sorted(r[0] for r in held.select("_depth").distinct().collect())
-    keyed = rows.withColumn("_key", order_key(F.col(value).cast("double")))
+    keyed = with_order_key(rows, F.col(value), "_key")
     steps = F.array(*[F.struct(F.lit(d).cast("long").alias("_depth"), F.shiftright("_key", KEY_BITS - d * STEP).alias("_prefix")) for d in depths])
     met = join_small(keyed.filter(F.col("_key").isNotNull()).select("*", F.inline(steps)), held, [*by, "_depth", "_prefix"], "inner", None if max_rows is None else max_rows * 8)
     # The entries of a leaf are in no order; the one of the largest key counts.

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foldwise.functions.bits import order_key
+from foldwise.functions.bits import with_order_key
 from foldwise.operators.quantiles import exact_quantiles, fold_quantiles
 from foldwise.operators.ranges import asof_join, leaves
 from foldwise.operators.scalers import apply_scaler, fit_fold_scaler, fit_scaler
@@ -21,7 +21,7 @@ def test_keys_sort_as_values_do(spark):
     for e in range(-1074, 1024):
         values += [2.0**e, -float(np.nextafter(2.0**e, 0)), float(np.nextafter(2.0**e, math.inf))]
     values += [float(v) for v in np.frombuffer(random.bytes(8 * 5000), "<f8")]
-    for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", order_key(F.col("x")).alias("k")).collect():
+    for r in spark.createDataFrame([(v,) for v in values], "x double").transform(lambda df: with_order_key(df, F.col("x"), "k")).collect():
         if r.x is None or math.isnan(r.x):
             assert r.k is None
         else:
