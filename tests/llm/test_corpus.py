@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldwise.llm import (
@@ -251,6 +252,36 @@ def test_toxicity_with_few_labels(spark):
     assert sum(r.doc_id not in left for r in toxic) >= 0.7 * len(toxic)
 
 
+def test_toxicity_recall_like_training(spark):
+    """Toxic documents are caught among held-out rows nearly as often as among those learnt from, and clean ones stay."""
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op7_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    share = {(r.held_out, r.toxic): r.share for r in rows.groupBy("held_out", "toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert share[True, 1] >= 0.9 and abs(share[True, 1] - share[False, 1]) < 0.03
+    assert max(share[True, 0], share[False, 0]) <= 0.01
+
+
+def test_toxicity_teaching_once(spark):
+    """A repeated text teaches once, with the label 1 if one of its ids has it."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, ""), (None, "a b"), (5, "c"), (6, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0), (5, 1), (5, 0), (6, None), (None, 1)], "doc_id long, label int")
+    rows = toxicity.teaching(docs, labels).collect()
+    assert {(r.doc_id, r.text, r.label) for r in rows} == {(1, "a b", 1), (3, None, 0), (5, "c", 1)} and len(rows) == 3
+
+
+def test_toxicity_calibration():
+    """K comes back from maxima drawn by it; a feature that lowers the score leaves the curve."""
+    random = np.random.default_rng(8)
+    words = random.integers(50, 500, 20_000)
+    scores = np.log(0.2 * words) - np.log(-np.log(random.random(20_000)))
+    cells = [(s if s > 1 else 0.0, 1.0, 1, int(n)) for s, n in zip(scores, words)]
+    assert math.isclose(toxicity.fit_k(cells), 0.2, rel_tol=0.05)
+    constant, best, share = toxicity.fit_curve([(0, 0.5, 0, 50), (0, 0.0, 0, 50), (9, 0.1, 1, 40), (9, 0.0, 1, 50)], (100, 90))
+    assert best > 0 and share == 0.0
+    alone = toxicity.fit_curve([(0, 0.0, 0, 100), (9, 0.0, 1, 90)], (100, 90))
+    assert math.isclose(constant, alone[0], abs_tol=1e-6) and math.isclose(best, alone[1], abs_tol=1e-6)
+
+
 def test_toxicity_signed_segments():
     """A clean word between two toxic ones parts them; scores of either sign against all cuts."""
     assert toxicity.segments([0, 1, 2], [2.0, -3.0, 2.0]) == [(2.0, 0, 1), (2.0, 2, 3)]
