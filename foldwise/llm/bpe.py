@@ -20,6 +20,7 @@ key columns are carried, whatever others are called.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from foldwise.llm.common import kept, table
+from foldwise.llm.common import kept, released, table
 from foldwise.llm.registry import query
 
 BLOCK_CHARS = 32_000_000
 RANGE_WORDS = 500_000
 # Tokens handled at a time while ids or pieces of a block are laid out.
-STEP_TOKENS = 1_000_000
+STEP_TOKENS = 400_000
 LEVEL = 9
 BLOCK = "block long, n_words long, keys binary, words binary, counts binary, places binary"
 ASK = "range long, block long, at binary, words binary"
@@ -82,7 +83,8 @@ def checked(path: str) -> None:
 @functools.cache
 def pieces(path: str, skip_special: bool = False) -> pa.Array:
     """Piece of every id; null for ids without one."""
-    tokenizer = loaded(path)
+    # The pieces are all that is needed from here on; the tokenizer itself is not kept beside them.
+    tokenizer = loaded.__wrapped__(path)
     special = {i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special} if skip_special else set()
     by_id = {i: p for p, i in tokenizer.get_vocab().items() if i not in special}
     return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
@@ -178,8 +180,11 @@ def blocks(docs: DataFrame, keys: list[str], text: str = "text", block_chars: in
                 if block.chars >= block_chars or at < batch.num_rows:
                     yield block.row(number)
                     number, block = number + 1, _Block()
+                    released()
         if block.counts:
             yield block.row(number)
+        del block
+        released()
 
     return kept(docs.select(F.col(text).alias("_text"), *[F.col(k) for k in keys]).mapInArrow(gather, BLOCK))
 
@@ -216,15 +221,20 @@ def _encoded(path: str):
                     number[word] = len(number)
             wanted.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
         distinct = list(number)
-        runs: list[np.ndarray] = []
+        lengths, flat = np.zeros(len(distinct), np.int64), []
+        del number
         for at in range(0, len(distinct), 10_000):
             part = [w.decode("utf-8", "surrogatepass") for w in distinct[at : at + 10_000]]
-            runs += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+            runs = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            lengths[at : at + len(runs)] = [len(r) for r in runs]
+            flat.append(np.fromiter(itertools.chain.from_iterable(runs), np.uint32))
+        ids, starts = np.concatenate(flat), np.cumsum(lengths) - lengths
+        del distinct, flat, part, runs
+        released()
         rows = {"block": asked.column("block").to_pylist(), "at": asked.column("at").to_pylist(), "lengths": [], "ids": []}
         for mine in wanted:
             rows["lengths"].append(_pack(lengths[mine]))
-            rows["ids"].append(_pack_ids(np.concatenate([runs[i] for i in mine])))
+            rows["ids"].append(_pack_ids(_gathered(starts, lengths, ids, mine)))
         return pa.table(rows, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
 
     return answer
@@ -237,6 +247,17 @@ def _gathered(starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, places:
     return ids[np.repeat(starts[places] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _tokens_before(ends: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Tokens before each of the ascending positions ``ends`` of a run of words, a step of words at a time."""
+    out, base = np.zeros(len(ends), np.int64), 0
+    for start in range(0, len(places), STEP_TOKENS):
+        run = np.cumsum(lengths[places[start : start + STEP_TOKENS]])
+        lo, hi = np.searchsorted(ends, [start, start + len(run)], "right")
+        out[lo:hi] = base + run[ends[lo:hi] - start - 1]
+        base += int(run[-1])
+    return out
+
+
 def _placed(schema: pa.Schema):
     def place(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
@@ -254,7 +275,7 @@ def _placed(schema: pa.Schema):
             ids = np.concatenate(runs) if runs else np.zeros(0, np.int32)
             places, counts = _unpack(row["places"]), _unpack(row["counts"]).astype(np.int64)
             ends = np.r_[0, np.cumsum(counts)]
-            tokens = np.r_[0, np.cumsum(lengths[places])][ends]
+            tokens = _tokens_before(ends, lengths, places)
             at, chunks = 0, []
             while at < len(counts):
                 upto = max(at + 1, int(np.searchsorted(tokens, tokens[at] + STEP_TOKENS, "right")) - 1)
@@ -263,6 +284,7 @@ def _placed(schema: pa.Schema):
                 at = upto
             columns = [*keys.columns, pa.chunked_array(chunks, pa.list_(pa.int32()))]
             out.append(pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema))
+        released()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return place

@@ -1,7 +1,10 @@
 """Word-table BPE against the tokenizer run on whole texts."""
 
 import hashlib
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldwise.llm import bpe
@@ -19,6 +22,30 @@ def whole(text):
     return ids, tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_placing_a_block_takes_little_beside_its_ids():
+    """Ids are laid out a step at a time: no 64-bit column of the block's words or tokens is made."""
+    many, words = 200, 3_000_000
+    places = np.random.default_rng(1).integers(0, many, words, dtype=np.uint32)
+    counts = np.full(words // 1000, 1000, np.uint32)
+    sink = pa.BufferOutputStream()
+    keys = pa.table({"doc_id": pa.array(range(len(counts)), pa.int64())})
+    with pa.ipc.new_stream(sink, keys.schema) as out:
+        out.write_table(keys)
+    block = pa.table({"block": [0], "n_words": [many], "keys": [sink.getvalue().to_pybytes()], "counts": [bpe._pack(counts)], "places": [bpe._pack(places)]})
+    lengths, ids = np.arange(many) % 3, np.arange(3 * many, dtype=np.uint32)[: int((np.arange(many) % 3).sum())]
+    answers = pa.table({"block": [0], "at": [bpe._pack(np.diff(np.arange(many), prepend=0))], "lengths": [bpe._pack(lengths)], "ids": [bpe._pack_ids(ids)]})
+    place = bpe._placed(pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+    tracemalloc.start()
+    found = place(block, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    starts = np.cumsum(lengths) - lengths
+    want = [i for p in places[5000:6000] for i in ids[starts[p] : starts[p] + lengths[p]]]
+    assert found["ids"][5].as_py() == want and found.num_rows == len(counts)
+    # Places packed, in planes and side by side, the ids of two bytes each word, and the step.
+    assert peak < 24 * words
+
+
 @pytest.mark.parametrize("limits", [{}, {"block_chars": 40, "range_words": 3}, {"block_chars": 100_000, "range_words": 1}])
 def test_round_trip_on_edge_rows(spark, limits):
     rows = [(None if i == 5 else i, t, "e", "t") for i, t in enumerate(TEXTS)]
