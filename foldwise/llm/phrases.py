@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import kept, mixed, table
+from foldwise.llm.common import kept, mixed, released, table
 from foldwise.llm.registry import query
 
 # The alphabet that is lower-cased, and what ends a piece (each becomes a token of its own, a full stop).
@@ -40,7 +40,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d", b"a
 LEAST, LONGEST, COVER, TOP = 10, 3, (50, 100), 2000
 SHARE, EASE = 0.25, 0.8
 # Bytes of text counted at a time, and hashed at a time.
-CHUNK, SLICE = 12_000_000, 1 << 20
+CHUNK, SLICE = 6_000_000, 1 << 20
 # Characters of text to a range of fingerprints.
 RANGE_CHARS = 8_000_000
 MOST_BITS = 1 << 27
@@ -196,6 +196,22 @@ def _unpacked(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.frombuffer(n, f"<u{len(n) // max(len(keys), 1) or 4}").astype(np.int64)
 
 
+def _distinct(runs: list[_Run], named: list[Named], before: list[Named]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending fingerprints that a chunk counts, and how often each occurs; the runs are used up."""
+    found = []
+    while runs:
+        run = runs.pop()
+        then = run.counted(before) if before else None
+        for keys, now in zip(run.keys, run.counted(named)):
+            found.append(keys[now & ~next(then) if then else now])
+        del run, then, keys, now
+    keys = np.concatenate(found)
+    del found
+    keys.sort()
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(np.r_[starts, len(keys)])
+
+
 def count_fingerprints(docs: DataFrame, longest: int, least: int, ranges: int, named=None, before=None, chunk: int = CHUNK) -> DataFrame:
     """(key, n) of the phrases with n >= ``least`` over all of ``docs`` (lang, text), by fingerprint. With a broadcast table ``named``, of those whose parts
     it holds; with ``before`` too, of those only that are not counted by that table. Chunks send their counts packed by ranges of fingerprints."""
@@ -203,12 +219,7 @@ def count_fingerprints(docs: DataFrame, longest: int, least: int, ranges: int, n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = ([b.value] if b is not None else [] for b in (named, before))
         for _, runs in _runs(batches, longest, chunk):
-            found = []
-            for run in runs:
-                then = run.counted(old) if old else None
-                for keys, now in zip(run.keys, run.counted(new)):
-                    found.append(keys[now & ~next(then) if then else now])
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            keys, n = _distinct(runs, new, old)
             # Sorted by value, so each range is a slice.
             number = _range_of(keys, ranges)
             cuts = np.flatnonzero(np.r_[True, np.diff(number) != 0]) if len(keys) else []
@@ -216,6 +227,9 @@ def count_fingerprints(docs: DataFrame, longest: int, least: int, ranges: int, n
             for at in range(0, len(rows), 1000):
                 part = list(zip(*rows[at : at + 1000]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["range", "keys", "n"])
+            # Nothing of a chunk stays while the next one is read.
+            del keys, n, number, rows
+            released()
 
     def add(rows: pa.Table) -> pa.Table:
         parts = [_unpacked(k.as_py(), n.as_py()) for k, n in zip(rows.column("keys"), rows.column("n"))]
@@ -267,6 +281,9 @@ def count_texts(docs: DataFrame, longest: int, least: int, ranges: int, frequent
                     if columns:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                                                          names=["lang", "size", "range", "phrases", "n"])
+            runs.clear()
+            words = text = run = whole = part = columns = None
+            released()
 
     def add(packed: pa.Table) -> pa.Table:
         # No phrase holds a line feed: it would have ended the piece.

@@ -3,7 +3,9 @@
 import collections
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,26 @@ def test_scores_beyond_64_bits(spark):
 
 def test_sql(spark, sf_dir):
     assert check(spark, sf_dir, QUERIES["op13_collocations"], ORACLES["op13_collocations"])[0] == "ok"
+
+
+def test_a_chunk_is_gone_before_the_next_is_counted():
+    """Memory of a counting task, over chunks of the size that the query takes."""
+    class Taken:
+        def mapInArrow(self, task, schema):
+            self.task = task
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        applyInArrow = groupBy
+
+    docs = Taken()
+    P.count_fingerprints(docs, 3, 10, 64)
+    text = " ".join(f"w{i * i % 99991}" for i in range(100_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in docs.task(iter([batch] * (30_000_000 // len(text)))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 150_000_000
