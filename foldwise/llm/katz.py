@@ -48,7 +48,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = "block long, trains boolean, tokens long, ids array<long>, lengths binary, vocabulary binary, codes binary"
 COUNTS = "kind string, k int, range long, block long, keys binary, n binary, own binary, distinct long, total long, numbers array<long>"
-CONTEXTS = "kind string, range long, block long, keys binary, total binary, held binary, low binary"
+CONTEXTS = "kind string, range long, block long, keys binary, total binary, held binary, low binary, alpha binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -224,10 +224,14 @@ def _add(rows: pa.Table) -> pa.Table:
     keys, at, ends = _together([unpacked_keys(r["keys"]) for r in rows])
     total, held, low = (np.bincount(at, np.concatenate([unpacked_reals(r[c]) for r in rows]), len(keys)) for c in ("total", "held", "low"))
     seen, r = total > 0, rows[0]["range"]
-    out = [("model", r, None, packed_keys(keys[seen]), *[packed_reals(x[seen]) for x in (total, held, low)])]
+    full = np.where(held < total, total, total + 1)
+    alpha = np.divide(1 - held / full, 1 - low, out=np.ones(len(total)), where=seen)
+    full = np.where(seen, full, 0).astype(np.int64)
+    out = [("model", r, None, packed_keys(keys[seen]), *[packed_reals(x[seen]) for x in (total, held, low)], None)]
     for row, lo, hi in zip(rows, [0, *ends[:-1]], ends):
         if row["block"] is not None:
-            out.append(("answer", r, row["block"], None, *[packed_reals(x[at[lo:hi]]) for x in (total, held, low)]))
+            # A block needs what follows from the sums, not the sums.
+            out.append(("answer", r, row["block"], None, packed(full[at[lo:hi]]), None, None, packed_reals(alpha[at[lo:hi]])))
     return pa.Table.from_batches([_rows(out, _arrow(CONTEXTS))])
 
 
@@ -288,11 +292,10 @@ class Evaluated:
     def context(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Total and alpha of the context of each n-gram of order ``k``; contexts never seen have total 0 and alpha 1."""
         answers = sorted(self.block.row[f"contexts{k}"] or [], key=lambda a: a["range"])
-        total, held, low = (np.concatenate([unpacked_reals(a[c]) for a in answers]) for c in ("total", "held", "low"))
-        full = np.where(held < total, total, total + 1)
-        alpha = np.divide(1 - held / full, 1 - low, out=np.ones(len(total)), where=total > 0)
+        total = np.concatenate([unpacked(a["total"]).astype(np.float64) for a in answers])
+        alpha = np.concatenate([unpacked_reals(a["alpha"]) for a in answers])
         at = self.block.context_at[k]
-        return np.where(total > 0, full, 0.0)[at], alpha[at]
+        return total[at], alpha[at]
 
     def seen(self, k: int) -> np.ndarray:
         """Probabilities of the n-grams of order ``k`` that were seen in training; for the others no value of meaning."""
@@ -319,7 +322,7 @@ def _sum(model: Model, k: int):
         at, many = block.context_at[k], len(block.context[k])
         low = block.below(k, x.seen(k - 1))
         found = [np.bincount(at, np.where(mine, v, 0.0), many) for v in (x.n[k], x.held(k), low)]
-        yield _rows([("asked", r, row["block"], packed_keys(block.context[k][lo:hi]), *[packed_reals(v[lo:hi]) for v in found])
+        yield _rows([("asked", r, row["block"], packed_keys(block.context[k][lo:hi]), *[packed_reals(v[lo:hi]) for v in found], None)
                      for r, lo, hi in _ranges(block.context[k], model.bits)], schema)
     return lambda batches: _each(batches, sums)
 
@@ -377,7 +380,7 @@ def evaluate(blocks: DataFrame, order: int, model: Model | None = None, path: st
             # Questions bring no sums of their own, the stored rows bring them all.
             rows = rows.unionByName(stored.contexts(spark, k))
         _written(rows.groupBy("range").applyInArrow(_add, CONTEXTS), f"{path}/contexts{k}")
-        full = _answered(full, _stored(spark, f"{path}/contexts{k}", CONTEXTS, "answer"), f"contexts{k}", ["range", "total", "held", "low"])
+        full = _answered(full, _stored(spark, f"{path}/contexts{k}", CONTEXTS, "answer"), f"contexts{k}", ["range", "total", "alpha"])
     return model, full
 
 

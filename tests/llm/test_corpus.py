@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,22 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.cluster(empty).count() == 0
 
 
+def test_katz_answers_hold_what_scores_need():
+    """A block is answered the total and the backoff weight of its contexts, in less room than the sums they follow from."""
+    rng, many = np.random.default_rng(3), 50_000
+    keys = np.sort(rng.integers(0, 1 << 63, many).astype(np.uint64))
+    total = rng.integers(1, 50, many).astype(float)
+    held, low = total * rng.random(many), rng.random(many)
+    sums = [katz.packed_reals(x) for x in (total, held, low)]
+    asked = pa.Table.from_pylist([dict(zip(katz._arrow(katz.CONTEXTS).names, ("asked", 0, b, katz.packed_keys(keys), *sums, None))) for b in (1, 2)], katz._arrow(katz.CONTEXTS))
+    answers = [row for row in katz._add(asked).to_pylist() if row["kind"] == "answer"]
+    for row in answers:
+        assert np.array_equal(katz.unpacked(row["total"]), 2 * total)
+        assert np.allclose(katz.unpacked_reals(row["alpha"]), (1 - held / total) / (1 - 2 * low), rtol=1e-12)
+        assert sum(len(v) for v in row.values() if isinstance(v, bytes)) < 10 * many
+    assert [row["block"] for row in answers] == [1, 2]
+
+
 def test_near_duplicates_chain(spark):
     """Links without a common hub: each text is like the next only; and a large group around one text."""
     random = np.random.default_rng(1)
