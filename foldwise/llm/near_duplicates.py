@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,7 +243,8 @@ def placed_rows(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
 
     placed = signs.select("print", F.inline(_bands(F.col("sign"))))
     sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    members = kept(placed.join(sizes, ["band", "bucket"]))
+    # The widest table stays on the executors' disks: made again from ``classes`` if lost, and given up once the rows are rooted.
+    members = placed.join(sizes, ["band", "bucket"]).persist(StorageLevel.DISK_ONLY)
     score = members.groupBy("print").agg(F.sum(F.col("n") - 1).alias("score"))
     hubs = members.join(score, "print").groupBy("band", "bucket").agg(F.max(F.struct("score", "print")).alias("top"))
     hubs = kept(hubs.select("band", "bucket", F.col("top.print").alias("hub")))
@@ -254,6 +256,7 @@ def placed_rows(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
     rooted = members.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     hub_roots = hubs.join(roots, hubs["hub"] == roots["node"], "left").select("band", "bucket", F.coalesce("root", "hub").alias("hub_root"))
     rooted = kept(rooted.join(hub_roots, ["band", "bucket"]).withColumn("stray", F.col("root") != F.col("hub_root")))
+    members.unpersist()
     split = rooted.groupBy("band", "bucket").agg(F.sum(F.col("stray").cast("int")).alias("strays")).filter(F.col("strays") > 0)
     rooted = rooted.join(split, ["band", "bucket"])
 

@@ -98,6 +98,16 @@ def test_katz_answers_hold_what_scores_need():
     assert [row["block"] for row in answers] == [1, 2]
 
 
+def test_near_duplicates_write_no_members(spark, docs, monkeypatch):
+    """Bucket members are no checkpoint files, and nothing stays stored when the result is there."""
+    written, plain = [], near_duplicates.kept
+    monkeypatch.setattr(near_duplicates, "kept", lambda df: written.append(set(df.columns)) or plain(df))
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    assert near_duplicates.cluster(docs).count() == len(ROWS)
+    assert {"band", "bucket", "print", "n"} not in written
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
 def test_near_duplicates_chain(spark):
     """Links without a common hub: each text is like the next only; and a large group around one text."""
     random = np.random.default_rng(1)
