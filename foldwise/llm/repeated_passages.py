@@ -6,8 +6,8 @@
 2. Suffixes whose first words occur once cannot match and go. The others carry ``LENGTH`` words to the right and to the left.
 3. They are range-sorted by what follows, so that the longest common continuations are neighbours, and each is compared with the
    nearest suffix of another text on either side and extended left and right; then once more sorted by what precedes. A match of
-   ``LENGTH`` words or more is a passage; overlapping ones are merged. Ranges are balanced, since text and place end the sort key;
-   the rows at the borders of ranges are compared in one more step (two a range and direction).
+   ``LENGTH`` words or more is a passage; overlapping ones are merged. Ranges are balanced, since text and place end the sort key; a task
+   reads its range batch by batch. The rows at the borders of ranges are compared in one more step (two a range and direction).
 
 The two orders find for each suffix the longest continuation on either side. A passage cut by edits on both sides of every suffix
 it holds can lie behind neighbours that share one side only; the tests measure recall against brute force.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import WordHashes, gram_hashes, kept, signed, table, words
+from foldwise.llm.common import WordHashes, gram_hashes, kept, released, signed, table, words
 from foldwise.llm.registry import query
 
 LENGTH = 50
@@ -63,6 +63,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen.append(np.unique(signed(grams[minimisers(grams, LENGTH - GRAM + 1)])).tolist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(chosen, pa.list_(pa.int64()))],
                                          names=["doc_id", "n_words", "print", "grams"])
+    hashes.clear()
+    released()
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +87,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(grams[some])), pa.array([x.tobytes() for x in after], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary()),
                      pa.array([p] * n, pa.binary()), pa.array(some, pa.int64())], names=["gram", "after", "before", "print", "place"])
+    hashes.clear()
+    released()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -95,11 +99,17 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 _SUFFIX = "gram long, after binary, before binary, print binary, place long"
 _SPAN = "print binary, start long, stop long, partner binary"
-_BORDER = f"range int, side int, {_SUFFIX}"
+_FOUND = f"{_SPAN}, border struct<range:int,side:int,gram:bigint,after:binary,before:binary,print:binary,place:bigint>"
+_BORDER = pa.struct([("range", pa.int32()), ("side", pa.int32()), ("gram", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("print", pa.binary()), ("place", pa.int64())])
+# Suffixes of a range on average; a row takes some 470 bytes.
+RANGE_ROWS = 50_000
 
 
-def _spans(rows: pa.Table) -> pa.Table:
-    """Matches of each suffix with the nearest ones of other texts before and after it in sorted rows."""
+def _spans(rows: pa.Table, old: int = 0, lead: int = 0) -> pa.Table:
+    """Matches of each suffix with the nearest ones of other texts before and after it in sorted rows, each once.
+
+    The first ``old`` rows come from the batch before and have met what lies before them, the first ``lead`` of these also what lies after.
+    """
     n = rows.num_rows
     gram = rows.column("gram").to_numpy()
     prints = np.array(rows.column("print").to_pylist(), object)
@@ -111,8 +121,8 @@ def _spans(rows: pa.Table) -> pa.Table:
     first = np.maximum.accumulate(np.where(change, index, 0))
     last = np.minimum.accumulate(np.where(np.append(change[1:], True), index, n)[::-1])[::-1]
     out = []
-    for other in (first - 1, last + 1):
-        i = index[(other >= 0) & (other < n)]
+    for other, start in ((first - 1, old), (last + 1, lead)):
+        i = index[(other >= 0) & (other < n) & (index >= start)]
         j = other[i]
         i, j = i[gram[i] == gram[j]], j[gram[i] == gram[j]]
         right, left = _common(after[i], after[j]), _common(before[i], before[j])
@@ -122,7 +132,8 @@ def _spans(rows: pa.Table) -> pa.Table:
         # The neighbour sees this match too; it need not be its own nearest.
         out.append((prints[j], place[j] - left, place[j] + right, prints[i]))
     p, a, b, q = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"print": pa.array(list(p), pa.binary()), "start": pa.array(a.astype(np.int64)), "stop": pa.array(b.astype(np.int64)), "partner": pa.array(list(q), pa.binary())})
+    found = pa.table({"print": pa.array(list(p), pa.binary()), "start": pa.array(a.astype(np.int64)), "stop": pa.array(b.astype(np.int64)), "partner": pa.array(list(q), pa.binary())})
+    return found.group_by(found.column_names).aggregate([])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,27 +142,68 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _spans(pa.Table.from_batches(batches)).to_batches()
 
 
-def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a range, and the next ones of another text."""
-    batches = [b for b in batches if b.num_rows]
-    if batches:
-        rows = pa.Table.from_batches(batches)
-        prints = rows.column("print").to_pylist()
-        n = len(prints)
-        ends = {0, n - 1, next((i for i in range(n) if prints[i] != prints[0]), 0), next((i for i in range(n - 1, -1, -1) if prints[i] != prints[-1]), n - 1)}
-        some = rows.take(pa.array(sorted(ends)))
-        number = TaskContext.get().partitionId()
-        some = some.add_column(0, "side", pa.array(range(some.num_rows), pa.int32())).add_column(0, "range", pa.array([number] * some.num_rows, pa.int32()))
-        yield from some.to_batches()
-
-
-def _matches(suffixes: DataFrame, context: str) -> DataFrame:
-    """Spans found by sorting on one side's context."""
+def _carried(rows: pa.Table) -> tuple[pa.Table, int]:
+    """The rows that later ones may still meet, the last run of one text and gram, and before them the row in front of it; how many rows that is, one or none."""
+    gram, prints = rows.column("gram").to_numpy(), rows.column("print").to_pylist()
+    start = rows.num_rows - 1
+    while start > 0 and prints[start - 1] == prints[-1] and gram[start - 1] == gram[-1]:
+        start -= 1
+    lead = min(start, 1)
+    # Taken, not sliced: a slice would hold the whole batch.
+    return rows.take(pa.array(range(start - lead, rows.num_rows))), lead
+
+
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches inside a sorted range, batch by batch, and its rows at either end: the first and the last one, and the next ones of another text."""
+    ends: dict[int, pa.Table] = {}
+    first = second = other = None
+    carried, lead, seen = None, 0, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        new = pa.Table.from_batches([batch])
+        prints = new.column("print").to_pylist()
+        if first is None:
+            first = prints[0]
+            ends[0] = new.take(pa.array([0]))
+        if second is None:
+            second = next((seen + i for i, p in enumerate(prints) if p != first), None)
+            if second is not None:
+                ends[second] = new.take(pa.array([second - seen]))
+        # The last row so far of another text than the last one lies in this batch, or it is one of the last two kept.
+        at = next((i for i in range(len(prints) - 1, -1, -1) if prints[i] != prints[-1]), None)
+        if at is not None:
+            other = seen + at, new.take(pa.array([at]))
+        elif seen and last[1].column("print")[0].as_py() != prints[-1]:
+            other = last
+        last = seen + len(prints) - 1, new.take(pa.array([len(prints) - 1]))
+        seen += len(prints)
+        rows = new if carried is None else pa.concat_tables([carried, new])
+        found = _spans(rows, 0 if carried is None else carried.num_rows, lead)
+        for part in found.select(["print", "start", "stop", "partner"]).combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, _BORDER)], names=[*part.schema.names, "border"])
+        carried, lead = _carried(rows)
+    if seen:
+        ends |= dict([last] if other is None else [other, last])
+        some = pa.concat_tables([ends[i] for i in sorted(ends)]).combine_chunks()
+        n = some.num_rows
+        parts = {"range": pa.array([TaskContext.get().partitionId()] * n, pa.int32()), "side": pa.array(range(n), pa.int32())}
+        for c in _BORDER.names[2:]:
+            parts[c] = some.column(c).combine_chunks()
+        border = pa.StructArray.from_arrays([parts[c] for c in _BORDER.names], fields=list(_BORDER))
+        nothing = [pa.nulls(n, t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*nothing, border], names=["print", "start", "stop", "partner", "border"])
+    released()
+
+
+def _matches(suffixes: DataFrame, context: str, ranges: int) -> DataFrame:
+    """Spans found by sorting on one side's context. Matches and borders come from one sort, since another one would draw other borders."""
     order = ["gram", context, "print", "place"]
-    ranges = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    borders = kept(ranges.mapInArrow(_borders, _BORDER))
+    # A given number of ranges stays as it is; else ranges of many equal passages, small as they are when compressed, would be put together.
+    found = kept(suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_ranged, _FOUND))
+    borders = found.filter(F.col("border").isNotNull()).select("border.*")
     meeting = borders.coalesce(1).sortWithinPartitions("range", "side").select(*[c.split()[0] for c in _SUFFIX.split(", ")])
-    return ranges.mapInArrow(_neighbours, _SPAN).union(meeting.mapInArrow(_neighbours, _SPAN))
+    return found.filter(F.col("border").isNull()).drop("border").union(meeting.mapInArrow(_neighbours, _SPAN))
 
 
 def _merged(spans: Column) -> Column:
@@ -182,7 +234,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = classes.select("print", F.col("id").alias("_id")).join(wanted, "print")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("print", "text", "grams")
     suffixes = kept(texts.mapInArrow(_suffixes, _SUFFIX))
-    found = _matches(suffixes, "after").union(_matches(suffixes, "before")).distinct()
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // RANGE_ROWS))
+    found = _matches(suffixes, "after", ranges).union(_matches(suffixes, "before", ranges)).distinct()
     named = found.join(classes.select(F.col("print").alias("partner"), F.col("id").alias("partner_id")), "partner")
     own = named.groupBy("print").agg(F.sort_array(F.collect_set(F.struct("start", "stop", F.col("partner_id").alias("partner")))).alias("spans"))
     own = own.select("print", F.explode(_merged(F.col("spans"))).alias("p")).select("print", "p.*")

@@ -438,3 +438,35 @@ def test_pipeline_against_single_stages(spark, sf_dir):
     assert {r.doc_id: r.taken for r in corpus_pipeline.run(spark, sf_dir).collect()} == taken
     kept = {r.doc_id: words(r.text) for r in left.collect()}
     assert all(n <= 3 * len(kept[i]) for i, n in taken.items())
+
+
+def test_sorted_ranges_are_matched_batch_by_batch(monkeypatch):
+    random = np.random.default_rng(3)
+    rows = []
+    for gram in range(60):
+        for _ in range(int(random.integers(1, 9))):
+            # Words that agree over a random length on either side, of texts that come several times in a row.
+            sides = [np.where(np.arange(repeated_passages.LENGTH) < random.integers(0, 51), 7, random.integers(8, 99)).astype(np.uint32).tobytes() for _ in range(2)]
+            rows.append((gram, *sides, bytes([int(random.integers(0, 3))] * 16), len(rows)))
+    rows += [(99, sides[0], sides[1], b"\x05" * 16, len(rows) + i) for i in range(40)]
+    rows.sort()
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["gram", "after", "before", "print", "place"])
+    monkeypatch.setattr(repeated_passages, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 4)}))}))
+    key = lambda t: {tuple(r.values()) for r in t.select(["print", "start", "stop", "partner"]).to_pylist()}
+    whole = key(repeated_passages._spans(table))
+    assert len(whole) > 50
+    for size in (1, 2, 3, 7, len(rows)):
+        read = []
+        batches = (read.append(1) or b for b in table.to_batches(size))
+        out, first = [], None
+        for b in repeated_passages._ranged(batches):
+            first = first or len(read)
+            out += b.to_pylist()
+        assert first <= max(1, 20 // size) + 10 and len(read) == -(-len(rows) // size)
+        assert {(r["print"], r["start"], r["stop"], r["partner"]) for r in out if r["border"] is None} == whole
+        prints = [r[3] for r in rows]
+        n = len(prints)
+        ends = {0, n - 1, next(i for i in range(n) if prints[i] != prints[0]), next(i for i in range(n - 1, -1, -1) if prints[i] != prints[-1])}
+        border = [r["border"] for r in out if r["border"] is not None]
+        assert [(b["range"], b["side"], b["gram"], b["print"], b["place"]) for b in border] == [(4, s, rows[i][0], rows[i][3], rows[i][4]) for s, i in enumerate(sorted(ends))]
