@@ -21,7 +21,7 @@ def with_order_key(df: DataFrame, x: Column, name: str) -> DataFrame:
     two = F.lit(2.0)
     df = df.withColumn("_x", x.cast("double")).withColumn("_size", F.abs("_x"))
     # The logarithm may round to the next whole number on either side of a power of two.
-    df = df.withColumn("_power", F.least(F.greatest(F.floor(F.log2(a)).cast("int"), F.lit(1 - _BIAS)), F.lit(_BIAS)))
+    df = df.withColumn("_power", F.least(F.greatest(F.floor(F.log2(a)), F.lit(1 - _BIAS)), F.lit(_BIAS)).cast("int"))
     over, under = F.pow(two, e) > a, (e < _BIAS) & (F.pow(two, F.least(e + 1, F.lit(_BIAS))) <= a)
     df = df.withColumn("_power", e - over.cast("int") + under.cast("int"))
     fraction = ((a / F.pow(two, e) - 1.0) * float(2**_FRACTION)).cast("long")

@@ -54,7 +54,9 @@ def _cell(depth: int, bits: int) -> Column:
 def _quantiles(df: DataFrame, row_by: list[str], by: list[str], cols: list[str], probs: list[float],
                regroup: Callable[[DataFrame], DataFrame], groups: int | None, bits: int) -> DataFrame:
     values = F.array(*[F.struct(F.lit(i).alias("c"), nan_to_null(F.col(c).cast("double")).alias("x")) for i, c in enumerate(cols)])
-    rows = with_order_key(spread(df.select(*row_by, *cols)).select(*row_by, F.inline(values)).filter(F.col("x").isNotNull()), F.col("x"), "key")
+    # Equal values of a group are one row with a count.
+    counted = spread(df.select(*row_by, *cols)).select(*row_by, F.inline(values)).filter(F.col("x").isNotNull()).groupBy(*row_by, "c", "x").agg(F.count("*").alias("n"))
+    rows = with_order_key(counted, F.col("x"), "key")
     # Read once per pass; lost blocks are computed again from the source.
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -86,7 +88,7 @@ def _selected(rows: DataFrame, row_by: list[str], by: list[str], probs: list[flo
             open_ = state.filter("lo < hi")
             inside = join_small(inside, open_.select("c", F.col("id").alias("parent")).distinct(), ["c", "parent"], "inner", most)
         counts = inside.groupBy(*row_by, "c", "parent", "id").agg(
-            F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("x").alias("v")
+            F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("x").alias("v")
         )
         cells = regroup(counts).groupBy(*keys, "id").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("v").alias("v"))
         if state is None:

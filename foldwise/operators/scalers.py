@@ -9,12 +9,18 @@ transform need the rows themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.functions.scalar import inverse_normal
 from foldwise.operators.folds import assign_roles, roles_of_bucket
-from foldwise.operators.joins import join_small, single_key
+from foldwise.operators.joins import BROADCAST_ROWS, join_small, single_key
 from foldwise.operators.quantiles import exact_quantiles, fold_quantiles
 from foldwise.operators.ranges import asof_join
 from foldwise.session import settled
@@ -105,38 +111,58 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, positive).otherwise(negative)
 
 
+def value_counts(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """(by, c, x, n): how many rows of a group hold which value of column number ``c``."""
+    values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
+    return df.select(*by, F.inline(values)).groupBy(*by, "c", "x").agg(F.count("*").alias("n"))
+
+
 def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None = None,
               span: float = 5.0, points: int = 11, tolerance: float = 0.01, rounds: int = 60) -> DataFrame:
     """Lambda of largest likelihood per column, then mean and deviation of the transformed values.
 
-    One round scores a batch of lambdas per column in one scan. A best lambda at the end of its
+    One round scores a batch of lambdas per column in one scan of the distinct values of each group. A best lambda at the end of its
     bracket moves and widens the bracket; one inside it narrows the bracket to its
     neighbours, around the top of the parabola through the three of them, until it is known
     to ``tolerance``. A likelihood without a top within ``rounds`` is an error, not a result.
     """
+    return _power(value_counts(df, by, cols), by, cols, groups, span, points, tolerance, rounds)
+
+
+def _power(counts: DataFrame, by: list[str], cols: list[str], groups: int | None, span: float = 5.0, points: int = 11,
+           tolerance: float = 0.01, rounds: int = 60) -> DataFrame:
+    """``fit_power`` of rows given as counts of values."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _power_of_counts(counts.withColumn("_one", single_key()), by, cols, groups, span, points, tolerance, rounds)
+    finally:
+        counts.unpersist()
+
+
+def _power_of_counts(rows: DataFrame, by: list[str], cols: list[str], groups: int | None, span: float, points: int, tolerance: float, rounds: int) -> DataFrame:
     keys = ["_one", *by]
-    rows = df.select(single_key().alias("_one"), *by, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
     groups = groups if by else 1
     bound = None if groups is None else groups * len(cols)
-    start = rows.select(*keys).distinct()
-    state = start.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1)))).select(
-        *keys, "c", F.lit(0.0).alias("mid"), F.lit(span).alias("half")
-    )
+    # Values are taken about one of their own near the mean, so that squares of sums lose no digits and a constant column has no spread at all.
+    means = rows.groupBy(*keys, "c").agg((F.sum(F.col("n") * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("_m"))
+    middles = join_small(rows, settled(means, bound), [*keys, "c"], "inner", bound).groupBy(*keys, "c").agg(F.min_by("x", F.abs(F.col("x") - F.col("_m"))).alias("ref"))
+    middles = settled(middles, bound)
+    state = middles.select(*keys, "c", F.lit(0.0).alias("mid"), F.lit(span).alias("half"))
 
     def scored(state: DataFrame) -> DataFrame:
-        tries = F.transform(
+        tries = F.array_distinct(F.transform(
             F.sequence(F.lit(0), F.lit(points - 1)),
-            lambda i: F.struct(F.col("c"), (F.col("mid") + F.col("half") * (i * 2.0 / (points - 1) - 1.0)).alias("lam")),
-        )
-        packed = state.select(*keys, F.explode(tries).alias("_t")).groupBy(*keys).agg(F.collect_list("_t").alias("_b"))
-        spread = join_small(rows, packed, keys, "inner", groups).withColumn("_t", F.explode("_b")).select(
-            *keys, "_t.c", "_t.lam", F.element_at("_v", F.col("_t.c") + 1).alias("_x")
-        )
-        z = yeo_johnson(F.col("_x"), F.col("lam"))
-        return spread.groupBy(*keys, "c", "lam").agg(
-            F.count(z).alias("n"), F.avg(z).alias("mean"), F.var_pop(z).alias("var"),
-            F.sum(F.signum("_x") * F.log1p(F.abs("_x"))).alias("jac"),
+            lambda i: F.col("mid") + F.col("half") * (i * 2.0 / (points - 1) - 1.0),
+        ))
+        tried = state.join(middles, [*keys, "c"]).select(*keys, "c", F.transform(tries, lambda lam: F.struct(lam.alias("lam"), yeo_johnson(F.col("ref"), lam).alias("at"))).alias("_t"))
+        spread = join_small(rows, tried, [*keys, "c"], "inner", bound).select(*keys, "c", "n", "x", F.inline("_t"))
+        off = yeo_johnson(F.col("x"), F.col("lam")) - F.col("at")
+        sums = spread.withColumn("_off", off).groupBy(*keys, "c", "lam").agg(
+            F.sum(F.when(F.col("_off").isNotNull(), F.col("n"))).alias("n"), F.first("at").alias("at"), F.sum(F.col("n") * F.col("_off")).alias("s"),
+            F.sum(F.col("n") * F.col("_off") * F.col("_off")).alias("q"), F.sum(F.col("n") * F.signum("x") * F.log1p(F.abs("x"))).alias("jac"),
         )
+        off = F.col("s") / F.col("n")
+        return sums.select(*keys, "c", "lam", "n", "jac", (F.col("at") + off).alias("mean"), F.greatest(F.col("q") / F.col("n") - off * off, F.lit(0.0)).alias("var"))
 
     for _ in range(rounds):
         like = F.when(
@@ -167,7 +193,7 @@ def fit_power(df: DataFrame, by: list[str], cols: list[str], groups: int | None
     per = settled(final, bound).select(
         *by, F.element_at(names, F.col("c") + 1).alias("column"),
         F.array("lam", "mean", _unit_if_zero(F.sqrt("var"))).alias("p"),
-    ).dropDuplicates([*by, "column"])
+    )
     return per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "p"))).alias("params"))
 
 
@@ -211,8 +237,10 @@ def fit_fold_scaler(df: DataFrame, cols: list[str], kind: str, role: str = "trai
         return _from_quantiles(fold_quantiles(df, cols, QUARTILES, role, bucket, k), ["fold"])
     if kind == "QuantileTransformer":
         return _from_grid(fold_quantiles(df, cols, QUANTILE_GRID, role, bucket, k), ["fold"])
-    rows = assign_roles(df.select(bucket, *cols), bucket, k, [role])
-    return fit_scaler(rows, ["fold"], cols, kind, groups=k)
+    if kind == "PowerTransformer":
+        counts = assign_roles(value_counts(df, [bucket], cols), bucket, k, [role]).groupBy("fold", "c", "x").agg(F.sum("n").alias("n"))
+        return _power(counts, ["fold"], cols, k)
+    raise ValueError(f"unknown scaler {kind}")
 
 
 def _quantile_shares(df: DataFrame, params: DataFrame, by: list[str], cols: list[str], groups: int | None) -> DataFrame:
@@ -239,6 +267,53 @@ def _quantile_shares(df: DataFrame, params: DataFrame, by: list[str], cols: list
     return out.drop(*key)
 
 
+def _placed(df: DataFrame, params: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """The same for few groups, whose quantiles go out with the tasks: a search in a sorted array per value."""
+    tables: dict[tuple, dict[str, tuple[np.ndarray, ...]]] = {}
+    for r in params.select(*by, "params").collect():
+        tables[tuple(r[b] for b in by)] = {c: (*(a for a in np.unique(np.array(q, float), return_index=True)), len(q)) for c, q in r["params"].items()}
+    df = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    names = df.columns
+
+    def share(x: np.ndarray, table: tuple[np.ndarray, ...]) -> np.ndarray:
+        q, first, size = table
+        end = np.append(first[1:], size) - 1
+        at = np.searchsorted(q, x, "right") - 1
+        low = np.maximum(at, 0)
+        above = q[np.minimum(low + 1, len(q) - 1)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            between = (end[low] + (x - q[low]) / (above - q[low])) / (size - 1)
+        between = np.where(low + 1 == len(q), 1.0, between)
+        return np.where(np.isnan(x), x, np.where(at < 0, 0.0, np.where(x == q[low], (first[low] + end[low]) / 2 / (size - 1), between)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            parts = [batch.column(b).dictionary_encode() for b in by]
+            codes = [np.where(p.indices.is_null(), -1, p.indices.fill_null(0)).astype(np.int64) for p in parts] or [np.zeros(rows, np.int64)]
+            keys, which = np.unique(np.stack(codes), axis=1, return_inverse=True)
+            which = which.reshape(-1)
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in cols}
+            stay = np.ones(rows, bool)
+            for g in range(keys.shape[1]):
+                mine = which == g
+                table = tables.get(tuple(None if k < 0 else p.dictionary[int(k)].as_py() for k, p in zip(keys[:, g], parts)), {})
+                for c in cols:
+                    if c in table:
+                        values[c][mine] = share(values[c][mine], table[c])
+                    else:
+                        # A value of a group without entries has no place; a missing one needs none.
+                        stay &= ~mine | np.isnan(values[c])
+            columns = [pa.array(values[n], mask=np.asarray(batch.column(n).is_null())) if n in values else batch.column(n) for n in names]
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            yield out if stay.all() else out.filter(pa.array(stay))
+
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType) for f in df.schema])
+    return df.mapInArrow(place, schema)
+
+
 def apply_scaler(df: DataFrame, params: DataFrame | None, by: list[str], cols: list[str], kind: str,
                  groups: int | None = None) -> DataFrame:
     """Scaled columns under their own names; every other column passes through."""
@@ -253,22 +328,28 @@ def apply_scaler(df: DataFrame, params: DataFrame | None, by: list[str], cols: l
             z = inverse_normal(F.least(F.greatest(F.col(c), F.lit(edge)), F.lit(1 - edge)))
             return F.when(F.isnan(c), F.col(c)).otherwise(F.least(F.greatest(z, F.lit(-NORMAL_LIMIT)), F.lit(NORMAL_LIMIT)))
 
-        shares = _quantile_shares(df, params, by, cols, groups).withColumns({c: F.when(F.col(c).isNotNull(), normal(c)) for c in cols})
+        few = not by or (groups is not None and groups * len(cols) * N_QUANTILES <= BROADCAST_ROWS)
+        placed = _placed(df, params, by, cols) if few else _quantile_shares(df, params, by, cols, groups)
+        shares = placed.withColumns({c: F.when(F.col(c).isNotNull(), normal(c)) for c in cols})
         return shares.select(*df.columns)
+    # Numbers of a group as columns, taken out of the map once a group and not once a use.
+    width = 3 if kind == "PowerTransformer" else 2
+    at = {(c, j): f"_p{i}_{j}" for i, c in enumerate(cols) for j in range(width)}
+    flat = params.select(*by, *[F.col("params")[c][j].alias(n) for (c, j), n in at.items()])
     if by:
-        joined = join_small(df, params, by, "inner", groups)
+        joined = join_small(df, flat, by, "inner", groups)
     else:
         key = single_key().alias("_k")
-        joined = join_small(df.select("*", key), params.select("*", key), ["_k"], "inner", 1).drop("_k")
+        joined = join_small(df.select("*", key), flat.select("*", key), ["_k"], "inner", 1).drop("_k")
 
-    def p(c: str, i: int) -> Column:
-        return F.col("params")[c][i]
+    def p(c: str, j: int) -> Column:
+        return F.col(at[(c, j)])
 
     if kind == "PowerTransformer":
         done = {c: (yeo_johnson(F.col(c).cast("double"), p(c, 0)) - p(c, 1)) / p(c, 2) for c in cols}
     else:
         done = {c: (F.col(c) - p(c, 0)) / p(c, 1) for c in cols}
-    return joined.withColumns(done).drop("params")
+    return joined.withColumns(done).drop(*at.values())
 
 
 def scale_folds(df: DataFrame, cols: list[str], kinds: list[str], roles: list[str], fit_role: str = "train",

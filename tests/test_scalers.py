@@ -165,3 +165,36 @@ def test_power_lambda_beyond_the_first_bracket(spark):
         return -len(x) / 2 * np.log(z.var()) + (k - 1) * np.log1p(x).sum()
 
     assert lam > 6.3 and likelihood(lam) >= max(likelihood(lam - 0.5), likelihood(lam + 0.5))
+
+
+def test_power_is_fitted_on_distinct_values_and_its_numbers_leave_the_map_once(spark, monkeypatch):
+    from foldwise.operators import scalers
+
+    rows = [(i % 2, float(1 + i % 7) ** 2, 3.0, None if i % 5 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, a double, same double, thin double")
+    seen = []
+    whole = scalers._power_of_counts
+    monkeypatch.setattr(scalers, "_power_of_counts", lambda counts, *rest: seen.append(counts.count()) or whole(counts, *rest))
+    params = scalers.fit_power(df, ["g"], ["a", "same", "thin"], 2)
+    # Seven values, one, and forty with the missing one, in either group; not four hundred rows a column.
+    assert seen == [2 * (7 + 1 + 41)]
+    for r in params.collect():
+        assert r.params["same"][2] == 1.0
+        lam, mean, sd = r.params["a"]
+        z = [((x + 1) ** lam - 1) / lam for g, x, _, _ in rows if g == r.g]
+        centre = sum(z) / len(z)
+        assert mean == pytest.approx(centre) and sd == pytest.approx(math.sqrt(sum((v - centre) ** 2 for v in z) / len(z)))
+    plan = scalers.apply_scaler(df, params, ["g"], ["a", "same"], "PowerTransformer", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[0].count("params") == 0
+
+
+def test_few_groups_are_placed_by_search_as_by_join(spark):
+    from foldwise.operators import scalers
+
+    random = __import__("random").Random(4)
+    rows = [(None if i % 37 == 0 else i % 3, i, random.choice([None, math.nan, 0.0, -0.0, 1.5, random.gauss(0, 1), 1e300, -math.inf])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, i int, x double")
+    params = scalers.fit_quantile(df.filter("g < 2 AND abs(x) < 2"), ["g"], ["x"], 2)
+    by_search, by_join = scalers._placed(df, params, ["g"], ["x"]), scalers._quantile_shares(df, params, ["g"], ["x"], 2)
+    kept = [{r.i: (r.g, repr(r.x)) for r in d.collect()} for d in (by_search, by_join)]
+    assert kept[0] == kept[1] and len(kept[0]) > 500
