@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.functions.scalar import inverse_normal
+from foldwise.functions.scalar import ACKLAM, ACKLAM_CUT, inverse_normal
 from foldwise.operators.folds import assign_roles, roles_of_bucket
 from foldwise.operators.joins import BROADCAST_ROWS, join_small, single_key
 from foldwise.operators.quantiles import exact_quantiles, fold_quantiles
@@ -34,6 +34,7 @@ SCALERS = [
 # Quantile transform grid and output limit.
 N_QUANTILES = 1000
 NORMAL_LIMIT = 5.199337582605575
+NORMAL_EDGE = 1e-7
 QUANTILE_GRID = [i / (N_QUANTILES - 1) for i in range(N_QUANTILES)]
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -267,8 +268,24 @@ def _quantile_shares(df: DataFrame, params: DataFrame, by: list[str], cols: list
     return out.drop(*key)
 
 
+def normal_scores(share: np.ndarray) -> np.ndarray:
+    """``inverse_normal`` of an array of positions, kept off 0 and 1 and within the output limit; NaN stays."""
+    a, b, c, d = (np.array(x) for x in ACKLAM)
+    p = np.clip(share, NORMAL_EDGE, 1 - NORMAL_EDGE)
+    q = p - 0.5
+    r = q * q
+    z = np.polyval(a, r) * q / np.polyval(b, r)
+    for tail, t, sign in ((p < ACKLAM_CUT, p, 1.0), (p > 1 - ACKLAM_CUT, 1.0 - p, -1.0)):
+        t = np.sqrt(np.log(t[tail]) * -2.0)
+        z[tail] = sign * np.polyval(c, t) / np.polyval(d, t)
+    return np.clip(z, -NORMAL_LIMIT, NORMAL_LIMIT)
+
+
 def _placed(df: DataFrame, params: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """The same for few groups, whose quantiles go out with the tasks: a search in a sorted array per value."""
+    """The normal quantile of that position, for few groups, whose quantiles go out with the tasks: a search in a sorted array per value.
+
+    As a column, the approximation of three features together is more code than the compiler takes, and is interpreted row by row.
+    """
     tables: dict[tuple, dict[str, tuple[np.ndarray, ...]]] = {}
     for r in params.select(*by, "params").collect():
         tables[tuple(r[b] for b in by)] = {c: (*(a for a in np.unique(np.array(q, float), return_index=True)), len(q)) for c, q in r["params"].items()}
@@ -291,18 +308,21 @@ def _placed(df: DataFrame, params: DataFrame, by: list[str], cols: list[str]) ->
             rows = batch.num_rows
             if not rows:
                 continue
-            parts = [batch.column(b).dictionary_encode() for b in by]
-            codes = [np.where(p.indices.is_null(), -1, p.indices.fill_null(0)).astype(np.int64) for p in parts] or [np.zeros(rows, np.int64)]
-            keys, which = np.unique(np.stack(codes), axis=1, return_inverse=True)
-            which = which.reshape(-1)
+            # One number per group of the batch; a null key is a group, of no entries.
+            code, groups = np.zeros(rows, np.int64), [()]
+            for b in by:
+                part = batch.column(b).dictionary_encode()
+                named = [*part.dictionary.to_pylist(), None]
+                code = code * len(named) + part.indices.fill_null(len(named) - 1).to_numpy(zero_copy_only=False)
+                groups = [(*g, v) for g in groups for v in named]
             values = {c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in cols}
             stay = np.ones(rows, bool)
-            for g in range(keys.shape[1]):
-                mine = which == g
-                table = tables.get(tuple(None if k < 0 else p.dictionary[int(k)].as_py() for k, p in zip(keys[:, g], parts)), {})
+            for g in np.flatnonzero(np.bincount(code, minlength=len(groups))):
+                mine = code == g
+                table = tables.get(groups[g], {})
                 for c in cols:
                     if c in table:
-                        values[c][mine] = share(values[c][mine], table[c])
+                        values[c][mine] = normal_scores(share(values[c][mine], table[c]))
                     else:
                         # A value of a group without entries has no place; a missing one needs none.
                         stay &= ~mine | np.isnan(values[c])
@@ -322,15 +342,14 @@ def apply_scaler(df: DataFrame, params: DataFrame | None, by: list[str], cols: l
     if kind == "LogScaler":
         return df.withColumns({c: F.log1p(F.col(c).cast("double")) for c in cols})
     if kind == "QuantileTransformer":
-        edge = 1e-7
+        if not by or (groups is not None and groups * len(cols) * N_QUANTILES <= BROADCAST_ROWS):
+            return _placed(df, params, by, cols)
 
         def normal(c: str) -> Column:
-            z = inverse_normal(F.least(F.greatest(F.col(c), F.lit(edge)), F.lit(1 - edge)))
+            z = inverse_normal(F.least(F.greatest(F.col(c), F.lit(NORMAL_EDGE)), F.lit(1 - NORMAL_EDGE)))
             return F.when(F.isnan(c), F.col(c)).otherwise(F.least(F.greatest(z, F.lit(-NORMAL_LIMIT)), F.lit(NORMAL_LIMIT)))
 
-        few = not by or (groups is not None and groups * len(cols) * N_QUANTILES <= BROADCAST_ROWS)
-        placed = _placed(df, params, by, cols) if few else _quantile_shares(df, params, by, cols, groups)
-        shares = placed.withColumns({c: F.when(F.col(c).isNotNull(), normal(c)) for c in cols})
+        shares = _quantile_shares(df, params, by, cols, groups).withColumns({c: F.when(F.col(c).isNotNull(), normal(c)) for c in cols})
         return shares.select(*df.columns)
     # Numbers of a group as columns, taken out of the map once a group and not once a use.
     width = 3 if kind == "PowerTransformer" else 2
