@@ -152,3 +152,16 @@ def test_naive_report_against_row_scores(data):
     assert got[(0, "train")]["r2"] == pytest.approx(0, abs=1e-12)
     wide = fold_stats(linear.naive_report(df, "y").select("fold", "role", "mse", "r2", "weighted_mse", "weighted_r2"), ["fold"], "train", "test")
     assert wide.count() == 5 and "weighted_val_r2" in wide.columns
+
+
+def test_costly_columns_are_summed_once_a_row_to_the_same_sums(spark):
+    from pyspark.sql import functions as F
+
+    from foldwise.operators.moments import cross_sums
+
+    rows = [(i % 3, float(i % 11), None if i % 7 == 0 else float(i % 5), math.nan if i % 13 == 0 else 1.0 + i) for i in range(300)] + [(None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, w double")
+    z = [F.lit(1.0), F.pow(F.col("a") + 1, F.lit(0.3)), F.log1p("b")]
+    plain, once = ({(r.g, r.pos): r.v for r in cross_sums(df, ["g"], z, F.col("w"), costly).collect()} for costly in (False, True))
+    assert plain.keys() == once.keys() and len(plain) == 24
+    assert all(once[k] == pytest.approx(v) for k, v in plain.items())
